@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import op7_substring_dedup
+from kinfold.llm import (
+    op3_order_minhash,
+    op4_quality_qda,
+    op6_license_scan,
+    op7_substring_dedup,
+    op8_language_id,
+    op10_embedding_lsh,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +26,33 @@ def op7_substring_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_order_minhash_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op3_order_minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op4_quality_qda_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op4_quality_qda.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_license_scan_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op6_license_scan.scanned(_table(spark, folder, "documents"))
+
+
+def op8_language_id_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op8_language_id.identified(_table(spark, folder, "documents"))
+
+
+def op10_embedding_lsh_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op10_embedding_lsh.linked(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_order_minhash": op3_order_minhash_query,
+    "op4_quality_qda": op4_quality_qda_query,
+    "op6_license_scan": op6_license_scan_query,
     "op7_substring_dedup": op7_substring_dedup_query,
+    "op8_language_id": op8_language_id_query,
+    "op10_embedding_lsh": op10_embedding_lsh_query,
 }
 
 OP7_SQL = r"""
@@ -33,4 +65,15 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_rem
 FROM d LEFT JOIN dead ON d.doc_id = dead.doc_id
 """
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL}
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT r.a AS vec_id, (SELECT count(*) FROM l WHERE l.a = r.a)::BIGINT AS n_links, min(r.b)::BIGINT AS component_id, r.a = min(r.b) AS kept FROM reach r GROUP BY r.a
+"""
+
+ORACLES: dict[str, str] = {"op10_embedding_lsh": OP10_SQL, "op7_substring_dedup": OP7_SQL}
