@@ -80,7 +80,7 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or width < period:
         raise ValueError("cover must be a difference cover of period, and width at least period")
     spark, core = documents.sparkSession, width - period + 1
-    n = prime_from(4 * partitions(spark))
+    n = prime_from(2 * partitions(spark))  # a chunk gives a row a bucket: few, larger rows
     last = np.iinfo(np.int64).max
     texts = documents.select(F.coalesce("doc_id", F.lit(last).cast("long")).alias("doc_id"), "text")
     texts = texts.withColumn("grp", F.pmod("doc_id", F.lit(n).cast("long")))
