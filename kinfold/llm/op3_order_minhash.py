@@ -6,10 +6,12 @@ so a signature survives edits but not a new order. Texts that share a signature
 the two shingle sequences decides.
 
 Plan. Texts with equal words become one class first (a partial aggregate on a 128-bit hash), so copies cost a row each and
-no pair. Each bucket then pairs its members with its smallest one only: a number of pairs linear in the members. Links that
-such a star can't show are looked for in a second round, which compares, in each bucket that still spans several components,
-the members of different components. Only ids and signatures are shuffled for candidates; the text is shuffled by doc_id
-once, for the alignments.
+no pair. Each bucket then pairs its members with one hub only, the member that shares most signatures with others: a number of
+pairs linear in the members. Links that such a star can't show are looked for in a second round, in each bucket that still
+spans several components (buckets of the same members once): blocks of at most BLOCK members meet in a task each, which
+compares members of different components by their numbers of shared shingles and aligns those that share enough. No pair
+leaves a task unless it is a link. Only ids and signatures are shuffled for candidates; the text is shuffled by doc_id for
+the alignments.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES = 24
 SAMPLE = 4
+BLOCK = 256
 
 _SEEDS = mixed(np.arange(1, 4097, dtype=U64))
 
@@ -163,6 +166,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """For each two of x and y, how many labelled shingles they share: no fewer than an alignment can match."""
+    every, code = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    size = np.cumsum([0, *(len(s) for s in x), *(len(s) for s in y)])
+    codes = [np.sort(code[a:b]) for a, b in zip(size[:-1], size[1:], strict=True)]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(every), 4096):  # so many shingles at a time: memory doesn't follow the texts' length
+        part = np.zeros((len(codes), 4096), np.float32)
+        for i, c in enumerate(codes):
+            part[i, c[slice(*np.searchsorted(c, [at, at + 4096]))] - at] = 1
+        out += part[: len(x)] @ part[len(x) :].T
+    return out
+
+
+def _across(width: int, similarity: float):
+    """Links between members of different components of one bucket (or of two of its blocks)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        split = table.column("first")[0].as_py() != table.column("second")[0].as_py()
+        node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        _, _, shingles, begin = _shingles(table.column("text").chunk(0), width)
+        k = labelled(shingles, begin)
+        rows = [(shingles[begin[i] : begin[i + 1]], k[begin[i] : begin[i + 1]]) for i in range(len(node))]
+        main = np.unique(component, return_counts=True)
+        largest = main[0][main[1].argmax()]
+        rest = np.flatnonzero(component != largest)  # every pair across components has a member of these
+        out = []
+        if len(rest):
+            shared = _shared([rows[i][1] for i in rest], [r[1] for r in rows])
+            size = np.array([len(r[1]) for r in rows])
+            enough = shared >= similarity / (1 + similarity) * (size[rest][:, None] + size[None, :]) - 1e-6
+            enough &= component[rest][:, None] != component[None, :]
+            if split:
+                enough &= block[rest][:, None] != block[None, :]
+            enough &= ~((component[None, :] != largest) & (node[rest][:, None] > node[None, :]))  # pairs of the rest, once
+            for i, j in zip(*np.nonzero(enough), strict=True):
+                i = rest[i]
+                if (sim := aligned(rows[i][0], rows[j][0], similarity)) >= similarity:
+                    out.append((min(node[i], node[j]), max(node[i], node[j]), sim))
+        return pa.table({c: pa.array([o[n] for o in out], pa.int64() if n < 2 else pa.float64()) for n, c in enumerate(("a", "b", "similarity"))})
+
+    return run
+
+
 def links_and_members(documents: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between representatives of texts with equal words, and members (doc_id, exact_id).
 
@@ -175,21 +223,27 @@ def links_and_members(documents: DataFrame, width: int = WORDS, similarity: floa
     member = sketched.join(first, "words", "left").select("doc_id", F.when(F.col("n") > 0, F.col("exact_id")).otherwise(F.col("doc_id")).alias("exact_id"), "n", "sketch")
     member = keep(member, "members")
     entries = member.where("n > 0 AND doc_id = exact_id").select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("tab", "sig"))
-    hubs = entries.groupBy("tab", "sig").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = entries.join(hubs, ["tab", "sig"]).where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = keep(star, "star")
-    links = keep(_verified(star, texts, width, similarity), "links")
+    hubs = entries.groupBy("tab", "sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = entries.select("tab", "sig", "node").join(hubs, ["tab", "sig"])
+    central = sized.groupBy("node").agg(F.sum("size").alias("score"))  # members that share most signatures make the best hubs
+    hubs = sized.join(central, "node").groupBy("tab", "sig").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
+    star = entries.join(hubs, ["tab", "sig"]).where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = keep(_verified(keep(star, "star"), texts, width, similarity), "links")
 
     label = components(links.select("a", "b"), "first")
-    open_ = entries.join(hubs.where("size > 2"), ["tab", "sig"]).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = open_.groupBy("tab", "sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tab", "sig")
-    open_ = keep(open_.join(split, ["tab", "sig"]).select("tab", "sig", "node", "n", "component"), "open")
-    x, y = (open_.select("tab", "sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "xy")
-    close = (F.col("n_x") >= similarity * F.col("n_y")) & (F.col("n_y") >= similarity * F.col("n_x"))
-    cross = x.join(y, ["tab", "sig"]).where((F.col("component_x") < F.col("component_y")) & close)
-    cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = keep(_verified(keep(cross, "cross"), texts, width, similarity), "more")
-    return links.unionByName(more), member.select("doc_id", "exact_id")
+    open_ = sized.where("size > 2").select("tab", "sig", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets = open_.groupBy("tab", "sig").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("node").alias("least"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("lo < hi")
+    once = sets.groupBy("size", "least", "x", "y").agg(F.min(F.struct("tab", "sig")).alias("at"))
+    once = once.select("at.tab", "at.sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    inside = open_.join(once, ["tab", "sig"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    inside = inside.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    inside = keep(inside.select("tab", "sig", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "component"), "open")
+    known = keep(texts.join(inside.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"), "open-texts")
+    more = inside.join(known, "node").groupBy("tab", "sig", "first", "second").applyInArrow(_across(width, similarity), "a long, b long, similarity double")
+    return links.unionByName(keep(more.distinct(), "more")), member.select("doc_id", "exact_id")
 
 
 def near_duplicates(documents: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
