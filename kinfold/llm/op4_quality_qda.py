@@ -231,3 +231,20 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
     out = x.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", in_fold("doc_id", folds, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:
+    """The rows of documents, all columns, whose score is at least ``threshold``; the rules are those of scored.
+
+    The scores are worked out beside the rows, so the text is read twice and never shuffled.
+    """
+    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("y"))
+    x = keep(statistics(documents), "statistics")
+    model = fit(keep(x.where(~in_fold("doc_id", folds, 0)).join(known, "doc_id").select("x", "y"), "training"))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            yield piece.filter(pa.array(model.score(statistics_of(piece.column(at))) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import (
+    op1_token_packing,
+    op2_latent_decontam,
     op3_order_minhash,
     op4_quality_qda,
+    op5_source_mix,
     op6_license_scan,
     op7_substring_dedup,
     op8_language_id,
+    op9_html_mincut,
     op10_embedding_lsh,
 )
 
@@ -26,6 +30,14 @@ def op7_substring_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op1_token_packing_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op1_token_packing.packed(_table(spark, folder, "documents"))
+
+
+def op2_latent_decontam_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op2_latent_decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_order_minhash_query(spark: SparkSession, folder: str) -> DataFrame:
     return op3_order_minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -34,6 +46,12 @@ def op4_quality_qda_query(spark: SparkSession, folder: str) -> DataFrame:
     return op4_quality_qda.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_source_mix_query(spark: SparkSession, folder: str) -> DataFrame:
+    out = op5_source_mix.mixed(_table(spark, folder, "documents"))
+    shards = F.concat("whole", F.when(F.col("rest") > 0, F.array("rest_shard")).otherwise(F.array())).alias("shards")
+    return out.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", shards)
+
+
 def op6_license_scan_query(spark: SparkSession, folder: str) -> DataFrame:
     return op6_license_scan.scanned(_table(spark, folder, "documents"))
 
@@ -42,16 +60,24 @@ def op8_language_id_query(spark: SparkSession, folder: str) -> DataFrame:
     return op8_language_id.identified(_table(spark, folder, "documents"))
 
 
+def op9_html_mincut_query(spark: SparkSession, folder: str) -> DataFrame:
+    return op9_html_mincut.extracted(_table(spark, folder, "pages"))
+
+
 def op10_embedding_lsh_query(spark: SparkSession, folder: str) -> DataFrame:
     return op10_embedding_lsh.linked(_table(spark, folder, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_packing": op1_token_packing_query,
+    "op2_latent_decontam": op2_latent_decontam_query,
     "op3_order_minhash": op3_order_minhash_query,
     "op4_quality_qda": op4_quality_qda_query,
+    "op5_source_mix": op5_source_mix_query,
     "op6_license_scan": op6_license_scan_query,
     "op7_substring_dedup": op7_substring_dedup_query,
     "op8_language_id": op8_language_id_query,
+    "op9_html_mincut": op9_html_mincut_query,
     "op10_embedding_lsh": op10_embedding_lsh_query,
 }
 
