@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: text normalisation, set and string similarity, vectors."""

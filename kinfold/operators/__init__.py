@@ -1 +1 @@
-"""See the package README."""
+"""Relational operators of record linkage; pure functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""See the package README."""
+"""Whole flows: training, prediction, diagnostics."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of records, and records derived from the test tables."""
