@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import U64, codes_of, pieces, within, words_of
+from kinfold.llm.common import U64, codes_of, keep, pieces, within, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
@@ -28,6 +28,7 @@ ROUNDS = 3
 LONGEST = 16
 UNKNOWN = 1e-7
 REMEMBERED = 300_000
+MOST_BROADCAST = 10_000  # languages
 
 _BASE = U64(0x9E3779B97F4A7C15)
 
@@ -171,7 +172,9 @@ def identified(documents: DataFrame, path: str = VOCABULARY, fit_documents: int
     held = F.coalesce(_crc(folds) == held_out, F.lit(False)).alias("held_out")
     labelled = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (_crc(folds) != held_out)).select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").count()
-    share = sizes.select("lang", (F.lit(float(fit_documents)) / F.col("count")).alias("share"))
+    share = keep(sizes.select("lang", (F.lit(float(fit_documents)) / F.col("count")).alias("share")), "shares")
+    if share.count() <= MOST_BROADCAST:  # else a join by language, which shuffles the labelled texts
+        share = F.broadcast(share)
     sample = labelled.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
