@@ -24,9 +24,9 @@ from kinfold.llm.common import pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CONTEXT = 2048
-LOT = 4_000_000
+LOT = 2_000_000
 PADDING = 50256
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: Fixed value: how this vocabulary's encoder cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -238,7 +238,7 @@ def packed(documents: DataFrame, path: str = VOCABULARY, context: int = CONTEXT,
                 for s in range(0, out.num_rows, 512):
                     yield out.slice(s, 512)
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", 2_000_000):
             ids, begin = encoder.encode(piece.column("text"))
             size = np.diff(begin)
             count = np.maximum(1, -(-size // context))
