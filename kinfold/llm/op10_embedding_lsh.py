@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import components, keep
+from kinfold.llm.common import U64, components, keep, mixed
 
 COSINE = 0.93
 TABLES = 64
@@ -56,12 +56,13 @@ def keys_of(x: np.ndarray, labels: np.ndarray, tables: int, projections: int, wi
     rng = np.random.default_rng([20240229, dim])
     a = rng.standard_normal((dim, tables * projections))
     b = rng.uniform(0, width, tables * projections)
-    cells = np.floor((_unit(x) @ a + b) / width).astype("<i4").reshape(len(x), tables, projections)
-    out = np.empty((len(x), tables), np.int64)
-    for i, label in enumerate(labels):
-        for t in range(tables):
-            out[i, t] = np.int64(xxhash.xxh3_64_intdigest(cells[i, t].tobytes(), seed=(int(label) * 1024 + t) % (1 << 64)) - (1 << 63))
-    return out
+    cells = np.floor((_unit(x) @ a + b) / width).astype(np.int64).astype(U64).reshape(len(x), tables, projections)
+    spread = mixed(np.arange(1, projections + 1, dtype=U64)) | U64(1)
+    out = mixed(np.arange(tables, dtype=U64) + U64(1 << 20))[None, :] + mixed(labels.astype(np.int64).astype(U64))[:, None]
+    for k in range(projections):
+        out = out + cells[:, :, k] * spread[k]
+        out ^= out >> U64(29)
+    return mixed(out).view(np.int64)
 
 
 def _hashed(tables: int, projections: int, width: float):
@@ -105,6 +106,21 @@ def _least_reachable(adjacent: np.ndarray, label: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _met_before(near: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of the pairs in a symmetric relation those that share a key in one of the given tables."""
+    met = np.zeros(near.shape, bool)
+    a, b = np.nonzero(np.triu(near))
+    if len(a) * 16 < near.size:  # few pairs: one by one
+        for s in range(0, len(a), 100_000):
+            i, j = a[s : s + 100_000], b[s : s + 100_000]
+            some = (keys[i] == keys[j]).any(axis=1)
+            met[i[some], j[some]] = met[j[some], i[some]] = True
+    else:  # many: a table at a time for all
+        for column in keys.T:
+            met |= column[:, None] == column[None, :]
+    return met
+
+
 def _compare(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         tab = table.column("tab")[0].as_py()
@@ -124,13 +140,8 @@ def _compare(cosine: float):
             if lo != hi:  # pairs within a block are another group's
                 near &= block[at][:, None] != block[at][None, :]
             root = _least_reachable(near, node[at].copy())
-            first = near.copy()
-            a, b = np.nonzero(np.triu(near))
-            for s in range(0, len(a), 200_000):
-                i, j = a[s : s + 200_000], b[s : s + 200_000]
-                late = (keys[at[i]][:, :tab] == keys[at[j]][:, :tab]).any(axis=1)
-                first[i[late], j[late]] = first[j[late], i[late]] = False
-            weight = first @ copies[at]
+            first = near & ~_met_before(near, keys[at][:, :tab])
+            weight = first.astype(np.float64) @ copies[at].astype(np.float64)
             out += [(int(n), int(r), int(w)) for n, r, w, some in zip(node[at], root, weight, near.any(axis=1), strict=True) if some]
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "weight": pa.array([o[2] for o in out], pa.int64())})
 
