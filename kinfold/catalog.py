@@ -115,7 +115,8 @@ s AS (SELECT top.entity_id, top.candidate_id, round({_jaccard_sql('name_tokens')
 
 
 def _norm(spark, folder, noisy=False):
-    return blocking.normalised(records(spark, folder, noisy))
+    """Kept in memory and on disk: counts, joins and features all read it."""
+    return blocking.normalised(records(spark, folder, noisy)).persist()
 
 
 def _raw(spark, folder, cfg=WIDE):

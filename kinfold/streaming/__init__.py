@@ -1 +1 @@
-"""See the package README."""
+"""Incremental matching."""
