@@ -39,7 +39,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int = 20, by: str | Non
     q = dealt(q, counts[0]).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1))))
     c = dealt(c, counts[1]).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1))))
     q = q.select("part", F.col("block").alias("a"), F.col("other").alias("b"), "id", "embedding")
-    c = c.select("part", F.col("other").alias("a"), F.col("block").alias("b"), "id", "embedding")
+    c = c.select(F.col("part").alias("part_c"), F.col("other").alias("a_c"), F.col("block").alias("b_c"), F.col("id").alias("id_c"), F.col("embedding").alias("embedding_c"))
     kind = queries.schema["id"].dataType.simpleString()
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -48,8 +48,8 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int = 20, by: str | Non
         if not left.num_rows or not right.num_rows:
             return empty
         dim = len(left.column("embedding")[0].as_py())
-        x, y = _unit(left.column("embedding"), dim), _unit(right.column("embedding"), dim)
-        right_id = right.column("id").combine_chunks()
+        x, y = _unit(left.column("embedding"), dim), _unit(right.column("embedding_c"), dim)
+        right_id = right.column("id_c").combine_chunks()
         order = right_id.to_numpy(zero_copy_only=False)
         at = np.argsort(order, kind="stable")
         y, right_id = y[at], right_id.take(pa.array(at))
@@ -59,10 +59,21 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int = 20, by: str | Non
         cols = top.reshape(-1)
         return pa.table({"entity_id": left.column("id").combine_chunks().take(pa.array(rows)), "candidate_id": right_id.take(pa.array(cols)), "embedding_score": pa.array(scores[rows, cols])})
 
-    found = q.groupBy("part", "a", "b").cogroup(c.groupBy("part", "a", "b")).applyInArrow(best, f"entity_id {kind}, candidate_id {kind}, embedding_score double")
+    found = q.groupBy("part", "a", "b").cogroup(c.groupBy("part_c", "a_c", "b_c")).applyInArrow(best, f"entity_id {kind}, candidate_id {kind}, embedding_score double")
     return top_candidates(found, k, F.desc("embedding_score"))
 
 
+def encoder_text(records: DataFrame) -> DataFrame:
+    """entity_id and the text an encoder gets, name and address; its vectors come back as a column embedding."""
+    return records.select("entity_id", F.trim(F.concat_ws(" ", "business_name", "business_address")).alias("text"))
+
+
+def embedding_candidates(norm_ids: DataFrame, embedded: DataFrame, k: int = 20) -> DataFrame:
+    """The k nearest records of the other sources of each source-1 record of its country, from records (entity_id, source, country) and vectors (entity_id, embedding)."""
+    rows = norm_ids.select("entity_id", "source", "country").join(embedded.select("entity_id", "embedding"), "entity_id").withColumnRenamed("entity_id", "id")
+    return neighbours(rows.where("source = 1"), rows.where("source <> 1"), k, by="country")
+
+
 def merged(keys: DataFrame, embedded: DataFrame) -> DataFrame:
     """Key candidates and embedding candidates: embedding counts as one more key; its score is null for pairs found by keys only."""
     rows = keys.join(embedded, ["entity_id", "candidate_id"], "full")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import blocking, features, metric, outputs, pairs
-from kinfold.plans import models
+from kinfold.plans import diagnostics, models
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,20 @@ def two_stage(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking, keep
     return metric.threshold_curve(held, truth.join(held, "entity_id", "left_semi"), scored)
 
 
+def pre_rank_recall(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking, caps: tuple[int, ...] = (60, 100, 150), trees: int = 20, seed: int = 42, normalise: bool = True) -> DataFrame:
+    """cap, found, recall of held-out entities' candidates in the order of a pre-ranker learnt on the others; recall is of all their true pairs."""
+    norm = blocking.normalised(records, cfg.ngram, normalise).persist()
+    parts = pairs.split(records.where("source = 1"), 0.15, seed).select("entity_id", "split")
+    raw = pairs.labelled(blocking.candidates(norm, cfg), truth).join(parts, "entity_id").persist()
+    sample = pairs.sampled(raw.where("split = 'train'").drop("split"), seed=seed)
+    model = models.fit(features.features(sample, norm, features.PRE_RANK), features.PRE_RANK, trees=trees, seed=seed)
+    held = raw.where("split = 'val'").drop("split")
+    scores = models.score(model, features.features(held, norm, features.PRE_RANK), features.PRE_RANK, "pre_rank_score").select("entity_id", "candidate_id", "pre_rank_score")
+    ranked = held.join(scores, ["entity_id", "candidate_id"])
+    own = truth.join(parts.where("split = 'val'"), "entity_id", "left_semi")
+    return diagnostics.recall_at(ranked, own, caps, F.desc("pre_rank_score"), F.desc("n_keys"))
+
+
 def reranked(rows: DataFrame, keep: int) -> DataFrame:
     """The best candidates of each entity by pre_rank_score, then n_keys, then id; all columns stay."""
     return blocking.top_candidates(rows, keep, F.desc("pre_rank_score"), F.desc("n_keys"))
