@@ -26,7 +26,7 @@ from kinfold.llm.common import pieces
 
 #: Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object audio video select option datalist".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg canvas object audio video select option datalist".split())
 NEVER = frozenset("nav footer aside form button dialog menu head header fieldset label".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -41,12 +41,13 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 
 #: Parts of names that pages give to what is no article, and to what is.
 BAD_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus "
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related "
-    "recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main mainbody post story text".split())
+BAD_ENDINGS = ("sidebar", "comments", "footer", "navbar", "menu", "banner", "advert", "adverts")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: Weights of the block classifier and of the edges, chosen by hand.
@@ -94,7 +95,7 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
         elif name in ("class", "id", "itemprop"):
             names = {x.lower() for x in _NAME.findall(value)}
             fine = bool(names & GOOD_NAMES) and not names & COMMENT_NAMES
-            bad |= bool(names & BAD_NAMES) and not fine
+            bad |= (bool(names & BAD_NAMES) or any(x.endswith(BAD_ENDINGS) for x in names)) and not fine
             good |= fine
     return tied, good, bad
 

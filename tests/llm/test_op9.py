@@ -41,6 +41,9 @@ TEXT = "The quick brown fox jumps over the lazy dog, and then it does so once mo
         (f"<ul><li><a href=x>{TEXT}</a><li><a href=y>{TEXT}</a></ul><div><p>{TEXT}</p><p>{TEXT}</p></div>", f"{TEXT} {TEXT}"),
         (f"<article><p>one <b>tw</b>o <a href=q>three</a>\n\t four</p><p>{TEXT}</p>", f"one two three four {TEXT}"),
         (f"<article><p>{TEXT}</p><p hidden>no</p><aside>{TEXT}</aside><div style='display: none'>{TEXT}</div></article>", TEXT),
+        (f"<article><h1>T</h1><p class=byline>By A. Author</p><p>{TEXT}</p><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", f"T By A. Author {TEXT} one two x y"),
+        (f"<div id=leftsidebar><p>{TEXT}</p></div><div class='post-body'><p>{TEXT}</p><p>ok</p></div><div id='comments'><h3>3 comments</h3><div class='comment'><p>{TEXT}</p></div></div>", f"{TEXT} ok"),
+        (f"<main><div class='alert notice' role=alert>{TEXT}</div><section><h2>A</h2><p>{TEXT}</p></section><section class=related><h2>More</h2><ul><li><a href=z>{TEXT}</a></ul></section></main>", f"A {TEXT}"),
         (f"<ARTICLE><P TITLE=\"a > b\">{TEXT}</P></ARTICLE", TEXT),
     ],
 )
