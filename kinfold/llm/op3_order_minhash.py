@@ -224,10 +224,12 @@ def links_and_members(documents: DataFrame, width: int = WORDS, similarity: floa
     member = keep(member, "members")
     entries = member.where("n > 0 AND doc_id = exact_id").select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("tab", "sig"))
     hubs = entries.groupBy("tab", "sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = entries.select("tab", "sig", "node").join(hubs, ["tab", "sig"])
+    sized = keep(entries.select("tab", "sig", "node").join(hubs, ["tab", "sig"]), "buckets")
     central = sized.groupBy("node").agg(F.sum("size").alias("score"))  # members that share most signatures make the best hubs
     hubs = sized.join(central, "node").groupBy("tab", "sig").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
-    star = entries.join(hubs, ["tab", "sig"]).where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    star = sized.join(hubs, ["tab", "sig"]).where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    shared = sized.select(F.col("node").alias("doc_id")).distinct()
+    texts = keep(texts.join(shared, "doc_id", "left_semi"), "texts")  # all later joins need these only
     links = keep(_verified(keep(star, "star"), texts, width, similarity), "links")
 
     label = components(links.select("a", "b"), "first")
@@ -241,8 +243,7 @@ def links_and_members(documents: DataFrame, width: int = WORDS, similarity: floa
     inside = open_.join(once, ["tab", "sig"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     inside = keep(inside.select("tab", "sig", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "component"), "open")
-    known = keep(texts.join(inside.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"), "open-texts")
-    more = inside.join(known, "node").groupBy("tab", "sig", "first", "second").applyInArrow(_across(width, similarity), "a long, b long, similarity double")
+    more = inside.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("tab", "sig", "first", "second").applyInArrow(_across(width, similarity), "a long, b long, similarity double")
     return links.unionByName(keep(more.distinct(), "more")), member.select("doc_id", "exact_id")
 
 
