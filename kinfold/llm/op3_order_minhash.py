@@ -229,7 +229,8 @@ def links_and_members(documents: DataFrame, width: int = WORDS, similarity: floa
     hubs = sized.join(central, "node").groupBy("tab", "sig").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
     star = sized.join(hubs, ["tab", "sig"]).where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     shared = sized.select(F.col("node").alias("doc_id")).distinct()
-    texts = keep(texts.join(shared, "doc_id", "left_semi"), "texts")  # all later joins need these only
+    # All later joins need these only. One plan at every size: a broadcast of the ids could not grow with the corpus.
+    texts = keep(texts.join(shared.hint("merge"), "doc_id", "left_semi"), "texts")
     links = keep(_verified(keep(star, "star"), texts, width, similarity), "links")
 
     label = components(links.select("a", "b"), "first")
