@@ -6,7 +6,7 @@ equal, aligned anchor. A window none of whose anchors occurs twice is therefore
 repeated anchors) are hashed whole and compared by their first place.
 
 Plan. Anchors go to buckets of their hash, places back to groups of documents, whole windows to buckets again and the
-repeated starts back to the documents: the text is shuffled once (both uses read one exchange). Places travel packed, as
+repeated starts back to the documents: the text is shuffled once (both uses read one exchange). Places travel packed and compressed, as
 arrays of one row for each source chunk and bucket, and equal hashes of one chunk are merged before the shuffle, so a
 passage that a third of all documents share gives a bucket a row a chunk. Group counts follow spark.sql.shuffle.partitions.
 """
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ _PLACES = "grp long, docs binary, places binary"
 #: known: 0, not yet seen twice; 1, seen twice in its chunk, and stands for its hash; 2, a further one of its chunk.
 
 
+def _squeezed(a: np.ndarray, kind: str) -> bytes:
+    """Differences, compressed: ids and places in order take a byte or two."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(a.astype(kind), prepend=np.zeros(1, kind)).tobytes())
+
+
+def _stretched(column, kind: str) -> np.ndarray:
+    own = zstandard.ZstdDecompressor()
+    parts = [np.cumsum(np.frombuffer(own.decompress(x), kind), dtype=kind) for x in column.to_pylist() if x]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
@@ -40,9 +52,9 @@ def _rows(buckets: np.ndarray, n: int, keys, checks, docs, places, known) -> pa.
     order = np.lexsort((places, docs, buckets))
     ends = np.searchsorted(buckets[order], np.arange(n + 1))
     full = np.flatnonzero(np.diff(ends))
-    cut = lambda a, kind: pa.array([packed(a[order[ends[b] : ends[b + 1]]], kind) for b in full], pa.binary())
+    cut = lambda a, kind, pack=packed: pa.array([pack(a[order[ends[b] : ends[b + 1]]], kind) for b in full], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), cut(keys, "<u8"), cut(checks, "<u4"), cut(docs, "<i8"), cut(places, "<i4"), cut(known, "u1")],
+        [pa.array(full, pa.int32()), cut(keys, "<u8"), cut(checks, "<u4"), cut(docs, "<i8", _squeezed), cut(places, "<i4", _squeezed), cut(known, "u1")],
         names=["bucket", "keys", "checks", "docs", "places", "known"],
     )
 
@@ -53,7 +65,7 @@ def _places(docs: np.ndarray, places: np.ndarray, groups: int) -> pa.Table:
     order = np.lexsort((places, docs, grp))
     full, begin = np.unique(grp[order], return_index=True)
     ends = [*begin, len(order)]
-    cut = lambda a, kind: pa.array([packed(a[order[ends[i] : ends[i + 1]]], kind) for i in range(len(full))], pa.binary())
+    cut = lambda a, kind: pa.array([_squeezed(a[order[ends[i] : ends[i + 1]]], kind) for i in range(len(full))], pa.binary())
     return pa.table({"grp": pa.array(full, pa.int64()), "docs": cut(docs, "<i8"), "places": cut(places, "<i4")})
 
 
@@ -102,7 +114,8 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
             yield _rows(_bucket(keys[order], n), n, keys[order], checks, docs[order], places[order], known)
 
     def repeated(table: pa.Table) -> pa.Table:
-        keys, docs, places, known = (unpacked(table.column(c), k) for c, k in (("keys", "<u8"), ("docs", "<i8"), ("places", "<i4"), ("known", "u1")))
+        keys, known = unpacked(table.column("keys"), "<u8"), unpacked(table.column("known"), "u1")
+        docs, places = _stretched(table.column("docs"), "<i8"), _stretched(table.column("places"), "<i4")
         hit = known > 0
         own = np.flatnonzero(known < 2)
         order = own[np.argsort(keys[own], kind="stable")]
@@ -115,7 +128,7 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
         empty = pa.table({k: pa.array([], t) for k, t in (("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "checks", "docs", "places", "known")))})
         if not left.num_rows or not right.num_rows:
             return empty
-        docs, places = unpacked(right.column("docs"), "<i8"), unpacked(right.column("places"), "<i4")
+        docs, places = _stretched(right.column("docs"), "<i8"), _stretched(right.column("places"), "<i4")
         order = np.argsort(docs, kind="stable")
         docs, places = docs[order], places[order]
         found = []
@@ -150,7 +163,8 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
         return pa.Table.from_batches([_rows(_bucket(keys, n), n, keys, checks, ids, place, known)])
 
     def later(table: pa.Table) -> pa.Table:
-        keys, checks, docs, places, known = (unpacked(table.column(c), k) for c, k in (("keys", "<u8"), ("checks", "<u4"), ("docs", "<i8"), ("places", "<i4"), ("known", "u1")))
+        keys, checks, known = (unpacked(table.column(c), k) for c, k in (("keys", "<u8"), ("checks", "<u4"), ("known", "u1")))
+        docs, places = _stretched(table.column("docs"), "<i8"), _stretched(table.column("places"), "<i4")
         hit = known == 2
         own = np.flatnonzero(known < 2)
         order = own[np.lexsort((places[own], docs[own], checks[own], keys[own]))]
@@ -159,7 +173,7 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
-        docs, places = unpacked(right.column("docs"), "<i8"), unpacked(right.column("places"), "<i4")
+        docs, places = _stretched(right.column("docs"), "<i8"), _stretched(right.column("places"), "<i4")
         order = np.argsort(docs, kind="stable")
         docs, places = docs[order], places[order]
         for piece in pieces(iter(left.combine_chunks().to_batches()), "text") if left.num_rows else ():
