@@ -307,7 +307,7 @@ def contaminated(
     spark = documents.sparkSession
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     words = texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    slices = max(1, math.ceil(words / 3 / slice_words))
+    slices = max(1, math.ceil(words / 2 / slice_words))  # a word and a space have two characters at least
     out = None
     for k in range(slices):  # each slice's size is bounded, whatever the benchmark's
         rows = [(r.item_id, r.text) for r in texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()]
