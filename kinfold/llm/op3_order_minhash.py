@@ -2,8 +2,8 @@
 
 A text is the sequence of its five-word shingles, each labelled with the number of its occurrence in the text. Each of
 TABLES hash functions picks the SAMPLE least labelled shingles; the picked ones *in text order* are the table's signature,
-so a signature survives edits but not a new order. Texts that share a signature are candidates, and a banded alignment of
-the two shingle sequences decides.
+so a signature survives edits but not a new order. Texts that share a signature are candidates, and the longest common
+subsequence of the two shingle sequences, within a band, decides.
 
 Plan. Texts with equal words become one class first (a partial aggregate on a 128-bit hash), so copies cost a row each and
 no pair. Each bucket then pairs its members with one hub only, the member that shares most signatures with others: a number of
@@ -17,6 +17,7 @@ the alignments.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ SIMILARITY = 0.8
 TABLES = 24
 SAMPLE = 4
 BLOCK = 256
+PART = 4096
 
 _SEEDS = mixed(np.arange(1, 4097, dtype=U64))
 
@@ -97,9 +99,10 @@ def _scatter(k, seed, spread):
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
-    """Matched shingles in common order over all shingles of the two, by an alignment within the widest band that can reach ``similarity``.
+    """Matched shingles in common order over all shingles of the two, by a longest common subsequence; 0 or any lower number if ``similarity`` isn't reached.
 
-    Equal ends are matched first; between them equal labelled shingles are matched by a longest increasing chain.
+    Equal ends are matched first. Between them all equal shingles within the widest band that can reach ``similarity`` may be
+    matched, whatever their number of occurrence: by a longest increasing chain, or bit-parallel if repeats make too many pairs.
     """
     if not len(a) or not len(b) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return 0.0
@@ -109,27 +112,56 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     left = n - head
     differ = np.flatnonzero(a[len(a) - left :][::-1] != b[len(b) - left :][::-1]) if left else np.empty(0, int)
     tail = int(differ[0]) if len(differ) else left
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
     matched = head + tail
     if len(x) and len(y):
         band = int((len(a) + len(b)) * (1 - similarity) / (1 + similarity)) + 1
         where: dict[int, list[int]] = {}
-        for j, s in enumerate(y.tolist()):
+        for j, s in enumerate(y):
             where.setdefault(s, []).append(j)
-        seen: dict[int, int] = {}
-        chain: list[int] = []
-        for i, s in enumerate(x.tolist()):
-            if (spots := where.get(s)) is None:
-                continue
-            t = seen.get(s, 0)
-            seen[s] = t + 1
-            if t < len(spots) and abs(i - spots[t]) <= band:
-                at = bisect_left(chain, spots[t])
-                chain[at : at + 1] = [spots[t]]
-        matched += len(chain)
+        both = [(n, len(where[s])) for s, n in Counter(x).items() if s in where]
+        most = matched + sum(min(p) for p in both)
+        if most < similarity * (len(a) + len(b) - most):
+            return 0.0
+        if sum(n * m for n, m in both) <= len(x) * (2 + len(y) / 2048):
+            matched += _chain(x, where, band)
+        else:
+            matched += _common(x, y, band)
     return matched / (len(a) + len(b) - matched)
 
 
+def _chain(x: list[int], where: dict[int, list[int]], band: int) -> int:
+    """Length of the longest common subsequence, all pairs of equal shingles within the band a step each."""
+    chain: list[int] = []
+    for i, s in enumerate(x):
+        for j in reversed(where.get(s, ())):  # falling, so that a place of x is matched once
+            if abs(i - j) <= band:
+                at = bisect_left(chain, j)
+                chain[at : at + 1] = [j]
+    return len(chain)
+
+
+def _common(x: list[int], y: list[int], band: int) -> int:
+    """The same bit-parallel, so many places of y at a time: memory doesn't follow the texts' length."""
+    found, carry = 0, bytearray(len(x))
+    for at in range(0, len(y), PART):
+        part = y[at : at + PART]
+        masks: dict[int, int] = {}
+        for j, s in enumerate(part):
+            masks[s] = masks.get(s, 0) | 1 << j
+        row = full = (1 << len(part)) - 1
+        # Before these places of x the part has no match and hands the carry on; after them nothing to the left has one.
+        for i in range(max(0, at - band), min(len(x), at + len(part) + band)):
+            m = masks.get(x[i], 0)
+            if m or carry[i]:
+                u = row & m
+                total = row + u + carry[i]
+                carry[i] = total >> len(part)
+                row = (total & full) | (row - u)
+        found += len(part) - row.bit_count()
+    return found
+
+
 def _sketch(width: int, tables: int, sample: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from kinfold.llm.op3_order_minhash import near_duplicates
+from kinfold.llm.op3_order_minhash import PART, _chain, _common, aligned, near_duplicates
 
 SCHEMA = "doc_id long, text string"
 
@@ -82,3 +83,43 @@ def test_empty_table_and_clashing_columns(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(1, "x y z"), (2, "x y z")], SCHEMA).withColumn("node", F.lit("q")).withColumn("n", F.lit(1)).withColumn("sig", F.lit(None))
     assert sorted((r.doc_id, r.class_id, r.kept) for r in near_duplicates(df).collect()) == [(1, 1, True), (2, 1, False)]
+
+
+def test_alignment_of_repeats_is_exact():
+    rnd = random.Random(3)
+    reached = 0
+    for case in range(300):
+        a = [rnd.randrange(rnd.choice([2, 10, 300])) for _ in range(rnd.randrange(1, 120))]
+        b = [s for s in a if rnd.random() > 0.06]
+        for _ in range(rnd.randrange(6)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.randrange(10))
+        m = lcs(a, b)
+        where = {}
+        for j, s in enumerate(b):
+            where.setdefault(s, []).append(j)
+        assert _chain(a, where, 1000) == _common(a, b, 1000) == m
+        want, got = m / (len(a) + len(b) - m), aligned(np.array(a), np.array(b, int), 0.8)
+        assert got == want if want >= 0.8 else got < 0.8
+        reached += want >= 0.8
+    assert 100 < reached < 300
+    a = [rnd.randrange(3000) for _ in range(2 * PART + 500)]  # several parts, and a band narrower than the texts
+    b = [s for s in a if rnd.random() > 0.02]
+    where = {}
+    for j, s in enumerate(b):
+        where.setdefault(s, []).append(j)
+    assert _common(a, b, 10**6) == _chain(a, where, 10**6) == _common(a, b, 400) > 0.95 * len(b)
+
+
+def test_repeated_lines(spark):
+    """An early repeat dropped, and a word changed near each end."""
+    rnd, rows = random.Random(4), []
+    for i in range(10):
+        line = [f"r{i}x{k}" for k in range(12)]
+        parts = [[f"w{rnd.randrange(10**6)}" for _ in range(20)] for _ in range(7)]
+        whole = sum((p + line for p in parts[:6]), []) + parts[6]
+        less = parts[0] + sum((p + line for p in parts[1:6]), []) + parts[6]
+        less[2] = less[-3] = "changed"
+        rows += [(2 * i, " ".join(whole)), (2 * i + 1, " ".join(less))]
+    want = brute(rows)
+    assert want == {d: d - d % 2 for d, _ in rows}
+    assert run(spark, rows) == want
