@@ -1,9 +1,11 @@
 """Operator 2: benchmark decontamination by latent semantic retrieval.
 
 Documents and benchmark items are cut into passages, weighted by TF-IDF over the benchmark's words. A distributed randomised
-SVD of all passages gives a latent space; windows of a document whose latent cosine with a passage of an item reaches COSINE are its
-candidates. A candidate counts if the window holds enough of the passage's term weight, the longest common subsequence of words with
-the whole item is long enough (so edits and paraphrases in order are found), and enough of the item's answer, its last words, is in it.
+SVD of all passages gives a latent space. Windows of a document that hold WEIGHT_SHARE of the term weight of an item's passage are the
+item's candidates, and so are those that hold half of that and whose latent cosine with the passage reaches COSINE: rare words hardly
+load on the leading directions, so the cosine only adds windows and never drops one. A candidate counts if the longest common
+subsequence of words with the whole item is long enough (so edits and paraphrases in order are found), and enough of the item's answer,
+its last words, is in it.
 
 Plan. The text is read once: only codes of words the benchmark has are kept (two or four bytes a word, in the shared folder), and the
 three passes over them (document frequencies, SVD, search) shuffle nothing but sums. The SVD takes one pass: each task adds up
@@ -210,7 +212,7 @@ def _search(items: Items, kind: str, cosine: float, weight_share: float, lcs_sha
                     a, b = np.searchsorted(cell, [s * n_passages, (s + 4096) * n_passages])
                     near = (window[s : s + 4096] @ own.latent.T).reshape(-1)
                     here = cell[a:b] - s * n_passages
-                    hit = (near[here] >= cosine) & (share[a:b] >= weight_share)
+                    hit = (share[a:b] >= weight_share) | ((share[a:b] >= weight_share / 2) & (near[here] >= cosine))
                     out += [(int(doc_of[c // n_passages]), int(own.owner[c % n_passages]), int(c // n_passages), float(near[c - s * n_passages])) for c in cell[a:b][hit].tolist()]
             best: dict[tuple[int, int], tuple] = {}
             for doc, item, w, near in out:

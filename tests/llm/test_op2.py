@@ -68,6 +68,19 @@ def test_paraphrases_long_items_and_clean_texts(spark):
     assert {(r.doc_id, r.item_id) for r in run(spark, docs, items, slice_words=500)} >= {p for p in got if p in standing(docs, items)}
 
 
+def test_term_share_alone_makes_a_candidate(spark):
+    """An item is found whatever its cosine: none reaches 2."""
+    rnd = random.Random(6)
+    text = lambda n: [f"w{rnd.randrange(30000)}" for _ in range(n)]
+    items = [(i, " ".join(text(30))) for i in range(20)]
+    edited = [(i, " ".join(f"q{k}" if k % 9 == 4 else w for k, w in enumerate(t.split()))) for i, t in items]
+    docs = [(i, " ".join([*text(50), t, *text(50)])) for i, t in items] + [(100 + i, " ".join([*text(50), t, *text(50)])) for i, t in edited]
+    docs += [(200 + i, " ".join(text(130))) for i in range(40)]
+    want = {(d, d % 100) for d, _ in docs if d < 200}
+    for cosine in (2.0, 0.2):
+        assert {(r.doc_id, r.item_id) for r in run(spark, docs, items, cosine=cosine)} == want
+
+
 def test_common_subsequence_and_svd():
     rnd = random.Random(1)
     for _ in range(200):
