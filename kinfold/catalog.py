@@ -168,18 +168,19 @@ def script_flags(spark, folder):
 # ---------------------------------------------------------------- blocking
 
 
-def _block(kind: str):
-    one = Blocking(cap=TIGHT.cap, number_cap=TIGHT.number_cap, kinds=(kind,))
+def _block(kind: str, cfg: Blocking, name: str):
+    one = Blocking(cap=cfg.cap, number_cap=cfg.number_cap, kinds=(kind,))
 
     def run(spark, folder):
         return _raw(spark, folder, one).select("entity_id", "candidate_id")
 
-    run.__name__ = f"block_{kind}"
+    run.__name__ = name
     query(f"WITH {_pairs_sql(one, (kind,))} SELECT entity_id, candidate_id FROM p")(run)
 
 
 for _kind in blocking.KINDS:
-    _block(_kind)
+    _block(_kind, TIGHT, f"block_{_kind}")
+    _block(_kind, WIDE, f"block_{_kind}_wide")
 
 
 @query(f"WITH {_pairs_sql(WIDE)} SELECT * FROM p")
@@ -197,6 +198,11 @@ def candidates_capped(spark, folder):
     return blocking.top_candidates(_raw(spark, folder, TIGHT), 10)
 
 
+@query(f"WITH {_pairs_sql(WIDE)} SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n_keys DESC, candidate_id) <= 10")
+def candidates_capped_wide(spark, folder):
+    return blocking.top_candidates(_raw(spark, folder), 10)
+
+
 # ---------------------------------------------------------------- labels and recall
 
 _RECALL = """SELECT {by} sum(n_true)::BIGINT AS total_true_matches, coalesce(sum(found), 0)::BIGINT AS matches_found_in_candidates, count(*) AS entities_with_matches,
@@ -300,23 +306,33 @@ _JOINED_SQL = "FROM p JOIN norm a ON a.entity_id = p.entity_id JOIN norm b ON b.
 _ROUNDED = ("name_token_jaccard", "name_char_jaccard", "name_len_ratio", "addr_token_jaccard", "addr_number_jaccard", "addr_len_ratio", *features.RATIOS)
 
 
-def _features(spark, folder, wanted):
+def _features(spark, folder, wanted, cfg=WIDE):
     norm = _norm(spark, folder, noisy=True)
-    out = features.features(blocking.candidates(norm, TIGHT), norm, wanted)
+    out = features.features(blocking.candidates(norm, cfg), norm, wanted)
     return out.select("entity_id", "candidate_id", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in wanted])
 
 
-def _feature_query(wanted) -> str:
-    return f"WITH {_pairs_sql(TIGHT, noisy=True)} SELECT p.entity_id, p.candidate_id, " + ", ".join(f"{_FEATURE_SQL[c]} AS {c}" for c in wanted) + f" {_JOINED_SQL}"
+def _feature_query(wanted, cfg: Blocking) -> str:
+    return f"WITH {_pairs_sql(cfg, noisy=True)} SELECT p.entity_id, p.candidate_id, " + ", ".join(f"{_FEATURE_SQL[c]} AS {c}" for c in wanted) + f" {_JOINED_SQL}"
 
 
-@query(_feature_query(features.PRE_RANK))
+@query(_feature_query(features.PRE_RANK, TIGHT))
 def pre_rank_features(spark, folder):
+    return _features(spark, folder, features.PRE_RANK, TIGHT)
+
+
+@query(_feature_query(features.PRE_RANK, WIDE))
+def pre_rank_features_wide(spark, folder):
     return _features(spark, folder, features.PRE_RANK)
 
 
-@query(_feature_query(features.NATIVE))
+@query(_feature_query(features.NATIVE, TIGHT))
 def pair_features(spark, folder):
+    return _features(spark, folder, features.NATIVE, TIGHT)
+
+
+@query(_feature_query(features.NATIVE, WIDE))
+def pair_features_wide(spark, folder):
     return _features(spark, folder, features.NATIVE)
 
 
@@ -329,25 +345,34 @@ def _native_weights(name: str) -> dict[str, float]:
     return {c: w for c, w in features.HAND_WEIGHTS[name].items() if c in features.NATIVE}
 
 
-def _weighted_sql() -> str:
+def _weighted_sql(cfg: Blocking) -> str:
     each = {n: " + ".join(f"{w} * {_FEATURE_SQL[c]}" for c, w in _native_weights(n).items()) for n in features.HAND_WEIGHTS}
-    return f"WITH {_pairs_sql(TIGHT, noisy=True)} SELECT p.entity_id, p.candidate_id, " + ", ".join(f"round({x}, 6) AS {n}" for n, x in each.items()) + f" {_JOINED_SQL}"
+    return f"WITH {_pairs_sql(cfg, noisy=True)} SELECT p.entity_id, p.candidate_id, " + ", ".join(f"round({x}, 6) AS {n}" for n, x in each.items()) + f" {_JOINED_SQL}"
 
 
-@query(_weighted_sql())
-def weighted_rankings_native(spark, folder):
-    """The hand-weighted scores without the string ratios, which SQL can't say."""
-    rows = _features(spark, folder, features.NATIVE)
+def _weighted(spark, folder, cfg):
+    rows = _features(spark, folder, features.NATIVE, cfg)
     for name in features.HAND_WEIGHTS:
         rows = features.weighted(rows, _native_weights(name), name)
     return rows.select("entity_id", "candidate_id", *[F.round(n, 6).alias(n) for n in features.HAND_WEIGHTS])
 
 
+@query(_weighted_sql(TIGHT))
+def weighted_rankings_native(spark, folder):
+    """The hand-weighted scores without the string ratios, which SQL can't say."""
+    return _weighted(spark, folder, TIGHT)
+
+
+@query(_weighted_sql(WIDE))
+def weighted_rankings_native_wide(spark, folder):
+    return _weighted(spark, folder, WIDE)
+
+
 @query()
 def weighted_rankings(spark, folder):
     """Recall at three caps of the hand-weighted scores."""
     norm, true = _norm(spark, folder), truth(spark, folder)
-    rows = features.features(pairs.labelled(blocking.candidates(norm, TIGHT), true), norm)
+    rows = features.features(pairs.labelled(blocking.candidates(norm, WIDE), true), norm)
     out = None
     for name, weights in features.HAND_WEIGHTS.items():
         one = diagnostics.recall_at(features.weighted(rows, weights, "raw").withColumn("value", F.round("raw", 6)), true, (60, 100, 150), F.desc("value")).withColumn("ranking", F.lit(name))
@@ -503,16 +528,16 @@ def aligned_sample(spark, folder):
 @query()
 def learned_pre_ranker(spark, folder):
     """Recall at caps of held-out entities in the order of a learnt pre-ranker."""
-    return linkage.pre_rank_recall(records(spark, folder), truth(spark, folder), TIGHT, SWEEP, trees=5)
+    return linkage.pre_rank_recall(records(spark, folder), truth(spark, folder), WIDE, SWEEP)
 
 
 @query()
 def two_stage_light(spark, folder):
     """Threshold curve of a matcher behind a pre-ranker on cheap features."""
-    return linkage.two_stage(records(spark, folder), truth(spark, folder), TIGHT, keep=20, light=True, trees=5)
+    return linkage.two_stage(records(spark, folder), truth(spark, folder), WIDE, light=True)
 
 
 @query()
 def two_stage(spark, folder):
     """Threshold curve of a matcher behind a pre-ranker on all features."""
-    return linkage.two_stage(records(spark, folder), truth(spark, folder), TIGHT, keep=20, light=False, trees=5)
+    return linkage.two_stage(records(spark, folder), truth(spark, folder), WIDE, light=False)
