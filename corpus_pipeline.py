@@ -13,22 +13,37 @@ from kinfold.llm import op1_token_packing, op2_latent_decontam, op3_order_minhas
 from kinfold.llm.common import keep
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, and the key's name: doc_id may be null or repeat. Kept, so that every reader sees the same keys."""
+    key = "row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality discriminant accepts."""
     return op4_quality_qda.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the smallest doc_id; rows without a doc_id are in no class and stay."""
-    found = op3_order_minhash.near_duplicates(docs)
-    stay = docs.where("doc_id IS NOT NULL").join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One row of each class of near duplicates, that of the smallest doc_id; rows without a doc_id are in no class and stay.
+
+    Rows are compared by their texts, so different texts under one doc_id all stay.
+    """
+    rows, key = _rows(docs.where("doc_id IS NOT NULL"))
+    found = op3_order_minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "class_id")
+    first = found.join(rows.select(key, "doc_id"), key).groupBy("class_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    stay = rows.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_semi")
     return stay.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    found = keep(op2_latent_decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(docs.columns)
+    """Rows in which no benchmark item stands, whatever their doc_id."""
+    rows, key = _rows(docs)
+    found = op2_latent_decontam.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = keep(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return rows.join(found, key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

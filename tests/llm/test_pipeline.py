@@ -55,3 +55,22 @@ def test_run_and_odd_rows(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/empty/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_are_judged_each(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    item = next(t for t in (r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()) if t and len(t.split()) >= 20)
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    texts = [(None, f"{one} {item} {two}"), (None, one), (7, f"{three} {item} {one}"), (7, two), (8, two), (9, three), (3, three), (7, three + " more")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select([F.col(f.name).cast(f.dataType) for f in schema]).withColumn("Row", F.lit("clash"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    clean = stages["decontamination"](spark, docs, DATA)
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(t for t in texts if item not in t[1])
+
+    first = stages["near_duplicates"](spark, docs, DATA)
+    assert first.columns == docs.columns
+    want = [texts[0], texts[1], texts[2], (7, two), (3, three)]  # no doc_id: stay; of two's and three's rows that of the smallest
+    assert Counter((r.doc_id, r.text) for r in first.collect()) == Counter(want)
