@@ -8,7 +8,9 @@ ones more surely; unrelated vectors share a key with 1e-5 a table.
 Plan. Equal vectors become one class with a count first (partial aggregate), so copies cost no pairs. Tables whose buckets
 hold the very same classes are compared once. A bucket of over BLOCK classes is cut into blocks, each pair of blocks being
 one group, so a group never holds over two blocks; no pair leaves a group, only each class's sum of links and a
-spanning star. A pair that shares several buckets counts in the first table alone.
+spanning star. A pair that shares several buckets counts in the first table alone: a group leaves out the products within
+the largest set of its members that met in an earlier table, so a tight cluster is multiplied out about once, not once a
+table. Exact counts of links need each pair of a cluster of different vectors once; that is the work that stays.
 """
 
 from __future__ import annotations
@@ -69,8 +71,8 @@ def _hashed(tables: int, projections: int, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _vectors(batch.column("embedding"))
-            labels = batch.column("label").to_pylist()
-            good = [i for i, r in enumerate(rows) if r is not None and labels[i] is not None]
+            labels, ids = batch.column("label").to_pylist(), batch.column("vec_id").to_pylist()
+            good = [i for i, r in enumerate(rows) if r is not None and labels[i] is not None and ids[i] is not None]
             names: list = [None] * len(rows)
             keys: list = [None] * len(rows)
             for dim in {len(rows[i]) for i in good}:
@@ -81,7 +83,9 @@ def _hashed(tables: int, projections: int, width: float):
                     for i, own in zip(part, k, strict=True):
                         names[i] = xxhash.xxh3_128_hexdigest(rows[i].tobytes(), seed=int(labels[i]) % (1 << 64))
                         keys[i] = own.astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.string()), pa.array(keys, pa.binary())], names=["vec_id", "same", "hashes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), pa.array(names, pa.string()), pa.array(keys, pa.binary()), batch.column("embedding"), batch.column("label")], names=["vec_id", "same", "hashes", "embedding", "label"]
+            )
 
     return run
 
@@ -91,33 +95,44 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(x, "<i8") for x in batch.column("hashes").to_pylist()]
         n = [len(r) for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column("node").to_numpy(), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.concatenate(rows))],
-            names=["node", "tab", "key"],
+            [pa.array(np.repeat(batch.column("class").to_numpy(), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.concatenate(rows))],
+            names=["class", "tab", "key"],
         )
 
 
-def _least_reachable(adjacent: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The smallest label each row reaches in a symmetric relation."""
+def _least_reachable(near: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest label each of all reaches by links between ``rows`` (near's rows) and all (its columns)."""
+    most = np.iinfo(np.int64).max
     while True:
-        near = np.where(adjacent, label[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(label, near)
+        new = np.minimum(label, np.where(near, label[rows][:, None], most).min(axis=0))
+        new[rows] = np.minimum(new[rows], np.where(near, label[None, :], most).min(axis=1))
         if (new == label).all():
             return label
         label = new
 
 
-def _met_before(near: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Of the pairs in a symmetric relation those that share a key in one of the given tables."""
+def _not_met(keys: np.ndarray) -> np.ndarray:
+    """All rows but those of the largest set that met in one of the earlier tables (a column each): every new pair has one of these."""
+    most, rest = 0, np.arange(len(keys))
+    for column in keys.T:
+        value, code, count = np.unique(column, return_inverse=True, return_counts=True)
+        if count.max() > max(1, most):
+            most = int(count.max())
+            rest = np.flatnonzero(code != count.argmax())
+    return rest
+
+
+def _met_before(near: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of the links between ``rows`` and all those whose ends share a key in one of the given tables."""
     met = np.zeros(near.shape, bool)
-    a, b = np.nonzero(np.triu(near))
-    if len(a) * 16 < near.size:  # few pairs: one by one
+    a, b = np.nonzero(near)
+    if len(a) * 16 < near.size:  # few links: one by one
         for s in range(0, len(a), 100_000):
             i, j = a[s : s + 100_000], b[s : s + 100_000]
-            some = (keys[i] == keys[j]).any(axis=1)
-            met[i[some], j[some]] = met[j[some], i[some]] = True
+            met[i, j] = (keys[rows[i]] == keys[j]).any(axis=1)
     else:  # many: a table at a time for all
         for column in keys.T:
-            met |= column[:, None] == column[None, :]
+            met |= column[rows][:, None] == column[None, :]
     return met
 
 
@@ -126,24 +141,29 @@ def _compare(cosine: float):
         tab = table.column("tab")[0].as_py()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         table = table.combine_chunks()
-        node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
+        own, node, copies, block = (table.column(c).to_numpy() for c in ("class", "node", "copies", "block"))
         x = _vectors(table.column("embedding").chunk(0))
         label = table.column("label").to_numpy()
         sizes = np.array([len(v) for v in x])
-        keys = np.stack([np.frombuffer(k, "<i8") for k in table.column("hashes").to_pylist()])
+        keys = np.stack([np.frombuffer(k, "<i8")[:tab] for k in table.column("hashes").to_pylist()])
         out: list[tuple] = []
-        for dim, own in {(d, g) for d, g in zip(sizes.tolist(), label.tolist(), strict=True)}:
-            at = np.flatnonzero((sizes == dim) & (label == own))
+        for dim, group in {(d, g) for d, g in zip(sizes.tolist(), label.tolist(), strict=True)}:
+            at = np.flatnonzero((sizes == dim) & (label == group))
+            rows = _not_met(keys[at])
+            if not len(rows):
+                continue
             unit = _unit(np.stack([x[i] for i in at]))
-            near = unit @ unit.T >= cosine
-            near &= node[at][:, None] != node[at][None, :]
+            first = unit[rows] @ unit.T >= cosine
+            first &= rows[:, None] != np.arange(len(at))[None, :]
             if lo != hi:  # pairs within a block are another group's
-                near &= block[at][:, None] != block[at][None, :]
-            root = _least_reachable(near, node[at].copy())
-            first = near & ~_met_before(near, keys[at][:, :tab])
-            weight = first.astype(np.float64) @ copies[at].astype(np.float64)
-            out += [(int(n), int(r), int(w)) for n, r, w, some in zip(node[at], root, weight, near.any(axis=1), strict=True) if some]
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "weight": pa.array([o[2] for o in out], pa.int64())})
+                first &= block[at][rows][:, None] != block[at][None, :]
+            first &= ~_met_before(first, rows, keys[at])
+            root = _least_reachable(first, rows, node[at].copy())
+            many = copies[at].astype(np.float64)
+            weight = first.T.astype(np.float64) @ many[rows]  # links between two of rows are in both sums
+            weight[rows] = first.astype(np.float64) @ many
+            out += [(int(c), int(n), int(r), int(w)) for c, n, r, w in zip(own[at], node[at], root, weight, strict=True) if w]
+        return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("class", "a", "b", "weight"))})
 
     return run
 
@@ -154,33 +174,36 @@ def linked(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     Rows are linked if their labels are equal and not null and their cosine is at least ``cosine`` (which the key width is
     chosen for). Rows whose vector is null, empty, zero or holds null or non-finite components, or whose label is null, have
     no links and are their own component; so have rows with a null vec_id, which is also their component. Vectors of
-    different lengths are never linked. Equal rows are two vectors that are linked; rows that share a vec_id are one node
-    of the components.
+    different lengths are never linked. Equal rows are two vectors that are linked. Rows that share a vec_id each have their
+    own vector's links; they are one node of the components, an invalid one among them included. A vector of any length is
+    compared whole. A cosine that rounds to the threshold counts as reaching it. The order of rows changes nothing.
     """
     data = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    hashed = keep(data.mapInArrow(_hashed(tables, projections, width), "vec_id long, same string, hashes binary"), "hashed")
-    classes = hashed.where("same IS NOT NULL AND vec_id IS NOT NULL").groupBy("same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    member = hashed.join(classes, "same", "left")
-    nodes = keep(member.where("vec_id = node").select("node", "copies", "hashes", "same").dropDuplicates(["same"]), "nodes")
-    entries = nodes.select("node", "hashes").mapInArrow(_keys, "node long, tab int, key long")
+    hashed = keep(data.mapInArrow(_hashed(tables, projections, width), "vec_id long, same string, hashes binary, embedding array<double>, label long"), "hashed")
+    classes = hashed.where("same IS NOT NULL").groupBy("same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    vectors = hashed.join(classes, "same").where("vec_id = node").select("same", "node", "copies", "hashes", "embedding", "label").dropDuplicates(["same"])
+    nodes = keep(vectors.withColumn("class", F.monotonically_increasing_id()), "nodes")  # one vec_id may be the least of several classes
+    entries = nodes.select("class", "hashes").mapInArrow(_keys, "class long, tab int, key long")
     buckets = entries.groupBy("tab", "key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        F.count(F.lit(1)).alias("size"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")
     )
     buckets = buckets.where("size > 1").groupBy("size", "least", "x", "y").agg(F.min(F.struct("tab", "key")).alias("at"))
     buckets = buckets.select("at.tab", "at.key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    inside = entries.join(buckets, ["tab", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    inside = entries.join(buckets, ["tab", "key"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    inside = inside.select("tab", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
-    vectors = nodes.select("node", "copies", "hashes").join(data.withColumnRenamed("vec_id", "node").dropDuplicates(["node"]), "node")
-    found = inside.join(vectors, "node").groupBy("tab", "key", "lo", "hi").applyInArrow(_compare(cosine), "a long, b long, weight long")
+    inside = inside.select("tab", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class")
+    found = inside.join(nodes.drop("same"), "class").groupBy("tab", "key", "lo", "hi").applyInArrow(_compare(cosine), "class long, a long, b long, weight long")
     found = keep(found, "found")
-    degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("links"))
-    label = components(found.select("a", "b"), "vectors")
-    member = hashed.join(classes, "same", "left").select("vec_id", "node", "copies")
-    out = member.join(degree, "node", "left").join(label, "node", "left")
+    degree = nodes.join(found.groupBy("class").agg(F.sum("weight").alias("links")), "class").select("same", "links")
+    member = hashed.join(classes, "same", "left").select("vec_id", "same", F.coalesce("node", "vec_id").alias("node"), "copies")
+    shared = hashed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.count("same").alias("fine"), F.min("same").alias("lo"), F.max("same").alias("hi"))
+    shared = shared.where("n > 1 AND (fine < n OR lo < hi)").select("vec_id")  # ids of different rows
+    tied = member.join(shared, "vec_id", "left_semi").where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    label = components(found.select("a", "b").unionByName(tied), "vectors")
+    out = member.join(degree, "same", "left").join(label, "node", "left")
     out = out.select(
         "vec_id",
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("component", "node", "vec_id").alias("component_id"),
+        F.coalesce("component", "node").alias("component_id"),
     )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

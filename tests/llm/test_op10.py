@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from kinfold.llm.op10_embedding_lsh import linked
+from kinfold.llm.op10_embedding_lsh import _not_met, linked
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -55,6 +57,67 @@ def test_table_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def by_row(rows, cosine=0.93):
+    """Sorted (vec_id, n_links, component_id) of rows in which a vec_id may repeat: links by row, components by vec_id."""
+    fine = [e is not None and len(e) > 0 and g is not None and all(x is not None and np.isfinite(x) for x in e) and any(e) for _, e, g in rows]
+    up = {v: v for v, _, _ in rows}
+    links = [0] * len(rows)
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for i, (a, x, g) in enumerate(rows):
+        for j, (b, y, h) in enumerate(rows[:i]):
+            if fine[i] and fine[j] and g == h and len(x) == len(y):
+                x_, y_ = np.array(x, float), np.array(y, float)
+                if x_ @ y_ / np.sqrt((x_ @ x_) * (y_ @ y_)) >= cosine:
+                    links[i] += 1
+                    links[j] += 1
+                    lo, hi = sorted((root(a), root(b)))
+                    up[hi] = lo
+    return sorted((v, n, root(v)) for (v, _, _), n in zip(rows, links, strict=True))
+
+
+def test_repeated_ids_in_any_order(spark):
+    rows = [(1, None, 1), (1, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 1.0, 0.0], 1), (1, [0.0, 1.0, 0.01], 1), (4, [0.0] * 3, 1), (4, [0.0, 0.0, 1.0], 1)]
+    rows += [(5, [0.0, 0.01, 1.0], 1), (0, [0.0, 0.01, 1.0], 1), (5, None, 1), (6, [-1.0, 0.0, 0.5], 1), (6, [-1.0, 0.0, 0.5], 1), (7, [1.0, 0.0, 0.0], None), (7, [-1.0, 0.0, 0.51], 1)]
+    rnd = random.Random(4)
+    want = by_row(rows)
+    for _ in range(3):
+        got = linked(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+        rnd.shuffle(rows)
+    got = linked(spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)], SCHEMA)).collect()
+    assert sorted(((r.vec_id or 0), r.n_links, r.component_id) for r in got) == [(0, 0, None), (0, 0, None), (3, 0, 3)]
+
+
+def test_clusters_are_multiplied_once():
+    """What a later table leaves out are pairs that met before, and no others."""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        keys = rng.integers(0, 3, (12, 4))
+        rest = set(_not_met(keys).tolist())
+        for i in range(12):
+            for j in range(i):
+                assert i in rest or j in rest or (keys[i] == keys[j]).any()
+    assert len(_not_met(np.ones((9, 2), int))) == 0 and len(_not_met(np.empty((9, 0), int))) == 9
+
+
+def test_tight_clusters_long_vectors_and_ties(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    rows = [(i, [float(np.float32(x)) for x in centre + rng.standard_normal(16) * 0.03], 1) for i in range(150)]
+    far = rng.standard_normal(20_000)
+    rows += [(200 + i, [float(np.float32(x)) for x in far + rng.standard_normal(20_000) * 0.01 * i], 1) for i in range(4)]
+    rows += [(300, [1.0, 0.0], 1), (301, [0.75, 0.661437827766148], 2), (302, [1.0, 0.0], 2)]
+    assert run(spark, rows, block=32) == run(spark, rows) == brute(rows)
+    tie = [(1, [4.0, 0.0], 1), (2, [3.0, 4.0], 1)]  # a cosine of 0.6 exactly
+    assert run(spark, tie, cosine=0.6, tables=256, projections=1, width=8.0) == {1: (1, 1), 2: (1, 1)}
+
+
 def test_blocks_give_the_same(spark):
     rows = [(i, [1.0, 0.001 * (i % 40), 0.5], 1) for i in range(80)]
     assert run(spark, rows, block=16) == run(spark, rows) == brute(rows)
