@@ -2,11 +2,13 @@ import html
 import itertools
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm.op9_html_mincut import extracted, main_text, min_cut
+from kinfold.llm.op9_html_mincut import FEATURES, FIT_BLOCKS, FIT_WEIGHT, LABELLING, PRIOR, blocks_of, extracted, fit, fitted, graph, main_text, marked, min_cut
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -69,3 +71,109 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert got[0] == (0, "") and got[1] == (1, "") and got[3][1].startswith("plain words") and len(got) == 6
     assert extracted(df.limit(0)).collect() == []
     assert extracted(df.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))).count() == 6
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p title=it's>{TEXT}</p></article>", TEXT),
+        (f"<article><p>{TEXT}</p><a href=\"x>leak</p><p>{TEXT}</article>", TEXT),
+        (f"<article><p>{TEXT}</p><p class='y>{TEXT}", TEXT),
+        (f"<article><p>{TEXT}</p><p data-x=a\"b>{TEXT}</p></article>", f"{TEXT} {TEXT}"),
+        (f"<article><p>{TEXT}</p><p class=", TEXT),
+        (f"<article><p>{TEXT}</p><!--><p>{TEXT}</p><!-- a > b --!><p>ok then.</p></article>", f"{TEXT} {TEXT} ok then."),
+        (f"<article><p>{TEXT}</p><p data-class=comment data-hidden>{TEXT}</p></article>", f"{TEXT} {TEXT}"),
+        (f"<article><p>5 < 6 and a <= b</p><p>{TEXT}</p></article>", f"5 < 6 and a <= b {TEXT}"),
+        (f"<div class='has-sidebar'><article><p>{TEXT}</p><p>{TEXT}</p></article></div>", f"{TEXT} {TEXT}"),
+        (f"<article><p>{TEXT}</p><div class=comments><div class=body><p>{TEXT}</p><p>{TEXT}</p></div></div></article>", TEXT),
+    ],
+)
+def test_broken_markup_and_nested_names(page, want):
+    assert main_text(page) == want
+
+
+def plain_page(rnd):
+    """A page of bare div elements without a telling name: (html, its prose)."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    prose, body = [], []
+    for _ in range(rnd.randrange(5, 15)):
+        kind = rnd.random()
+        text = words(rnd.randrange(25, 80)) + "." if kind < 0.6 else words(rnd.randrange(1, 4)) if kind < 0.8 else words(rnd.randrange(4, 9))
+        tag = "p" if kind < 0.6 else "div"
+        prose.append(text)
+        body.append(f"<{tag}>{text}</{tag}>" if kind < 0.8 else f"<div><a href=x>{text}</a></div>")
+    aside = []
+    for _ in range(rnd.randrange(5, 12)):
+        aside.append(f"<li><a href=x>{words(rnd.randrange(1, 6))}</a></li>" if rnd.random() < 0.85 else f"<li>{words(6)}.</li>")
+    menu = " ".join(f"<div><a href=x>{words(1)}</a></div>" for _ in range(6))
+    return f"<div><div>{menu}</div></div><div><div>{''.join(body)}</div></div><div><div><ul>{''.join(aside)}</ul></div></div><div><div>© {words(3)}</div></div>", prose
+
+
+def test_the_cut_decides_and_is_right():
+    rnd = random.Random(12)
+    changed = right = blocks = by_cut = by_sign = 0
+    for _ in range(200):
+        page, prose = plain_page(rnd)
+        found = blocks_of(page)
+        costs, edges = graph(found, np.array(PRIOR))
+        want = set(prose)
+        for b, c, keep in zip(found, costs, min_cut(costs, edges), strict=True):
+            truth = b.text in want
+            blocks += 1
+            by_cut += keep == truth
+            by_sign += (c > 0) == truth
+            changed += keep != (c > 0)
+            right += keep != (c > 0) and keep == truth
+    print(f"{blocks} blocks, changed {changed / blocks:.3f}, right of these {right / changed:.3f}, by sign {by_sign / blocks:.3f}, by cut {by_cut / blocks:.3f}")
+    assert changed > 0.1 * blocks and right > 0.95 * changed
+    assert by_cut > by_sign + 0.1 * blocks and by_cut > 0.9 * blocks
+
+
+def test_fit():
+    rnd = random.Random(5)
+    pages = []
+    for _ in range(100):
+        links = "".join(f"<li><a href=x>menu entry {rnd.randrange(9)}</a></li>" for _ in range(9))
+        pages.append(f"<nav>{links}<div class=promo>Sign up now! It is free.</div></nav><article><h1>On it</h1>{f'<p>{TEXT}</p>' * rnd.randrange(1, 9)}<p>Yes.</p></article>")
+    x, y = zip(*(marked(p) for p in pages), strict=True)
+    x, y = np.concatenate([np.array(v) for v in x]), np.concatenate([np.array(v) for v in y])
+    w = fitted(x, y)
+    assert (x[:, [FEATURES.index(f) for f in LABELLING]] == 0).all()
+    assert all(w[k] == PRIOR[k] for k, f in enumerate(FEATURES) if f in LABELLING)
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-x @ v))
+        return -FIT_WEIGHT * (0.5 * np.log(p[y]).mean() + 0.5 * np.log(1 - p[~y]).mean()) + ((v - np.array(PRIOR)) ** 2).sum() / 2
+
+    assert all(loss(w) <= loss(w + step) for step in np.random.default_rng(1).normal(0, 0.05, (200, len(w))))
+    assert (fitted(x[y], y[y]) == np.array(PRIOR)).all() and (fitted(x[:0], y[:0]) == np.array(PRIOR)).all()
+    assert len(marked("<article>" + f"<p>{TEXT}</p>" * 500 + "</article>")[1]) == FIT_BLOCKS
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + TEXT + "</div>" * 200_000,
+        "".join(f"<div>{k % 7}" for k in range(100_000)) + "</div>" * 100_000,
+        "<b>" * 100_000 + "<div>x</div>" * 100_000,
+        "<div>" * 100_000 + "</b>" * 100_000 + TEXT,
+        "<li><a href=x>y</a></li>" * 50_000 + f"<p>{TEXT}</p>" * 2_000,
+        "<p>ab</p><div><a href=x>y</a></div>" * 20_000,
+        "<" * 500_000,
+        "<a " * 200_000,
+        "<a b='" * 100_000,
+    ],
+    ids=["deep", "deep text", "inline", "unmatched", "links and prose", "alternating", "open", "tags", "quotes"],
+)
+def test_huge_pages_are_linear(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 15
+
+
+def test_copies_weigh_once_and_reruns_agree(spark):
+    rows = [(k, "u", f"<nav><a href=x>home {k}</a></nav><article><p>{TEXT} {k}</p></article>") for k in range(40)]
+    once, often = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows + [rows[0]] * 60, SCHEMA)
+    assert (fit(once) == fit(often.repartition(7))).all() and (fit(once) != np.array(PRIOR)).any()
+    assert (fit(once.limit(0)) == np.array(PRIOR)).all()
