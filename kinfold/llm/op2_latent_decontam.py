@@ -1,16 +1,17 @@
 """Operator 2: benchmark decontamination by latent semantic retrieval.
 
-Documents and benchmark items are cut into passages, weighted by TF-IDF over the benchmark's words. A distributed randomised
-SVD of all passages gives a latent space. Windows of a document that hold WEIGHT_SHARE of the term weight of an item's passage are the
-item's candidates, and so are those that hold half of that and whose latent cosine with the passage reaches COSINE: rare words hardly
-load on the leading directions, so the cosine only adds windows and never drops one. A candidate counts if the longest common
-subsequence of words with the whole item is long enough (so edits and paraphrases in order are found), and enough of the item's answer,
-its last words, is in it.
-
-Plan. The text is read once: only codes of words the benchmark has are kept (two or four bytes a word, in the shared folder), and the
-three passes over them (document frequencies, SVD, search) shuffle nothing but sums. The SVD takes one pass: each task adds up
-A^T (A Omega) over its passages, a matrix of benchmark words by rank, and two levels of sums add these. The benchmark is broadcast
-in slices of at most SLICE_WORDS words, a pass each, so no broadcast grows with it.
+Documents and benchmark texts are cut into passages, weighted by TF-IDF over the benchmark's words. A distributed randomised SVD of all
+passages gives a latent space; the benchmark's passages weigh as much in it as the documents', so that it spans both. Every window of
+a document whose latent cosine with a passage reaches COSINE is a candidate of the passage's item, by a product of all windows with
+all passages, and there is no other way to become one. A candidate counts if the longest common subsequence of words with the
+whole item is long enough (so edits and paraphrases in order are found), the item's rarer words stand in it too, and so does enough
+of its answer, its last words.
+
+Plan. The text is read once: only a 32-bit hash of each word is kept (in the shared folder), and the passes over them (document
+frequencies, SVD, search) shuffle nothing but sums. The SVD takes one pass: each task adds up A^T (A Omega) over its passages, a
+matrix of FEATURES hashed words at most by rank, and two levels of sums add these. Frequencies, weights and space are those of the
+whole benchmark; only the search takes it in slices of about SLICE_WORDS words, a pass each. So nothing that is broadcast or collected
+grows with documents or benchmark, and the slices change no row. The search costs windows times passages, as a matrix product.
 """
 
 from __future__ import annotations
@@ -26,114 +27,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import LOWER_ALNUM, keep, pieces, within, words_of
+from kinfold.llm.common import LOWER_ALNUM, U64, hashes_of, keep, pieces, within, words_of
 
 BLOCK = 32  # words; a window is two blocks, and so holds every run of BLOCK words somewhere
-RANK = 64
+FEATURES = 1 << 16  # words are columns of A by a hash
+RANK = 128  # at least, and an eighth of the benchmark's passages,
+MOST_RANK = 512  # at most
 OVERSAMPLE = 16
-MOST_COMMON = 0.01  # words in more passages than this are no terms (but each passage keeps its LEAST_TERMS rarest)
-LEAST_TERMS = 4
-COSINE = 0.2
-WEIGHT_SHARE = 0.5
-LCS_SHARE = 0.75
+MOST_COMMON = 0.03  # words in more passages than this are no terms (but each passage of the benchmark keeps its LEAST_TERMS rarest)
+LEAST_PASSAGES = 16  # words in no more passages than this are terms in any case
+LEAST_TERMS = 8
+LEAST_VALUE = 1e-3  # directions of a smaller part of the largest eigenvalue are noise
+COSINE = 0.4
+SHORT = 16  # an item of fewer words can't fill a window: its cosine is scaled
+LCS_SHARE = 0.55
+TERM_SHARE = 0.4
 LEAST_WORDS = 8
 ANSWER_WORDS = 8
-ANSWER_SHARE = 0.5
+ANSWER_SHARE = 0.375
 SLICE_WORDS = 200_000
+CHUNK = 1 << 16
 
+FOUND = "doc_id long, key long, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
 
 
+@dataclass
+class Space:
+    """The latent space of the whole benchmark."""
+
+    column: np.ndarray  # of each feature; -1: not of the benchmark
+    weight: np.ndarray  # of each column; 0: no term
+    vectors: np.ndarray  # columns by rank, weights included, scaled to equal spread in every direction
+
+    def columns(self, codes: np.ndarray) -> np.ndarray:
+        return self.column[codes >> 16]
+
+    def terms(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each word is a term."""
+        at = self.columns(codes)
+        return (at >= 0) & (self.weight[at] > 0)
+
+
 @dataclass
 class Items:
-    """A slice of the benchmark: its words, and its items and their passages as codes of these."""
-
-    ids: list[int]
-    words: list[str]
-    bodies: list[np.ndarray]
-    owner: np.ndarray  # of each passage, the item
-    passages: list[np.ndarray]
-    weight: np.ndarray | None = None  # of each word; 0: no term
-    space: np.ndarray | None = None  # words by rank, weights included
-    latent: np.ndarray | None = None  # passages by rank, of length 1
-    terms: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # postings: by word from, to; passage; weight
-
-
-def items_of(rows: list[tuple[int, str]]) -> Items:
-    texts = pa.array([t for _, t in rows], pa.string())
-    flat, starts = words_of(texts, LOWER_ALNUM)
-    every = flat.to_pylist()
-    words = sorted(set(every))
-    code = {w: i for i, w in enumerate(words)}
-    bodies = [np.array([code[w] for w in every[a:b]], np.int64) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    owner, passages = [], []
+    """A slice of the benchmark's texts and their passages in the latent space."""
+
+    keys: list[int]
+    bodies: list[list[int]]
+    terms: list[list[int]]
+    owner: np.ndarray  # of each passage, the text
+    latent: np.ndarray  # passages by rank, of length 1
+    least: np.ndarray  # the cosine each passage asks for
+
+
+def passages_of(body: np.ndarray) -> list[np.ndarray]:
+    """Runs of BLOCK words, the last one ending where the text does."""
+    begins = [*range(0, max(1, len(body) - BLOCK + 1), BLOCK)]
+    if len(body) > BLOCK and begins[-1] + BLOCK < len(body):
+        begins.append(len(body) - BLOCK)
+    return [body[b : b + BLOCK] for b in begins] if len(body) else []
+
+
+def items_of(rows: list[tuple[int, bytes]], space: Space, cosine: float) -> Items:
+    bodies = [np.frombuffer(c, "<u4") for _, c in rows]
+    owner, latent, least = [], [], []
     for i, body in enumerate(bodies):
-        begins = [*range(0, max(1, len(body) - BLOCK + 1), BLOCK)]
-        if len(body) > BLOCK and begins[-1] + BLOCK < len(body):
-            begins.append(len(body) - BLOCK)
-        for b in begins:
-            if len(body):
-                owner.append(i)
-                passages.append(body[b : b + BLOCK])
-    return Items([i for i, _ in rows], words, bodies, np.array(owner, np.int64), passages)
-
-
-def weigh(items: Items, passages: int, with_word: np.ndarray, most_common: float) -> None:
-    """Weights of the words from how many of the corpus's passages have them."""
-    idf = np.log((passages + 1) / (with_word + 1)) + 1e-3
-    term = with_word <= max(most_common * passages, 1)
-    for own in items.passages:
-        distinct = np.unique(own)
-        term[distinct[np.argsort(with_word[distinct], kind="stable")[:LEAST_TERMS]]] = True
-    items.weight = np.where(term, idf, 0.0).astype(np.float32)
-
-
-def place(items: Items, vectors: np.ndarray) -> None:
-    """Puts the items into the latent space (words by rank)."""
-    items.space = (vectors * items.weight[:, None]).astype(np.float32)
-    latent = np.stack([items.space[p].sum(axis=0) for p in items.passages]) if items.passages else np.zeros((0, vectors.shape[1]), np.float32)
-    items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    word, passage, weight = [], [], []
-    for i, own in enumerate(items.passages):
-        distinct = np.unique(own[items.weight[own] > 0])
-        w = items.weight[distinct].astype(np.float64)
-        word.append(distinct)
-        passage.append(np.full(len(distinct), i))
-        weight.append(w / max(w.sum(), 1e-12))
-    word = np.concatenate(word) if word else np.empty(0, np.int64)
-    order = np.argsort(word, kind="stable")
-    bounds = np.searchsorted(word[order], np.arange(len(items.words) + 1))
-    items.terms = bounds, np.concatenate(passage)[order] if len(order) else order, np.concatenate(weight)[order] if len(order) else np.empty(0)
-
-
-def randomised_svd(y: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors of A from one pass's Y = A^T A Omega."""
-    if not len(y):
-        return np.zeros((0, rank))
+        for own in passages_of(body):
+            at = space.columns(own)
+            owner.append(i)
+            latent.append(space.vectors[at].sum(axis=0))
+            least.append(cosine * math.sqrt(min(1.0, len(body) / SHORT)) if cosine < 1 else cosine)
+    latent = np.stack(latent)
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    return Items([k for k, _ in rows], [b.tolist() for b in bodies], [b[space.terms(b)].tolist() for b in bodies], np.array(owner, np.int64), latent.astype(np.float32), np.array(least, np.float32))
+
+
+def randomised_svd(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of A and the squares of its singular values, from one pass's Y = A^T A Omega."""
     q, _ = np.linalg.qr(y)
     b = (q.T @ y) @ np.linalg.pinv(q.T @ omega)
     value, vector = np.linalg.eigh((b + b.T) / 2)
-    return q @ vector[:, np.argsort(-value)[:rank]]
+    order = np.argsort(-value)[:rank]
+    return q @ vector[:, order], value[order]
 
 
-def omega_of(words: int, rank: int) -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((words, min(words, rank + OVERSAMPLE))).astype(np.float32)
+def omega_of(columns: int, rank: int) -> np.ndarray:
+    return np.random.default_rng(11).standard_normal((columns, min(columns, rank + OVERSAMPLE))).astype(np.float32)
 
 
-def _sum_rows(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values (a row each) by their row number, which must not fall."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(rows):
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        out[rows[first]] = np.add.reduceat(values, first, axis=0)
+def _sums(table: np.ndarray, index: np.ndarray, rows: np.ndarray, n: int, scale: np.ndarray | None = None) -> np.ndarray:
+    """Sums of table[index] (times scale) by row number, which must not fall; CHUNK at a time, so memory doesn't follow a text's length."""
+    out = np.zeros((n, table.shape[1]), np.float32)
+    for s in range(0, len(rows), CHUNK):
+        at, values = rows[s : s + CHUNK], table[index[s : s + CHUNK]]
+        if scale is not None:
+            values = values * scale[s : s + CHUNK, None]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] += np.add.reduceat(values, first, axis=0)
     return out
 
 
-def _coded(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words of each document (-1: not of the benchmark), and where each document's begin."""
+def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of each text, and where each text's begin."""
     column = batch.column("codes")
-    size = pc.binary_length(column).to_numpy() // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    size = pc.binary_length(column).to_numpy() // 4
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4"), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
 def _blocks(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,129 +158,160 @@ def common_subsequence(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, at
 
 
-def checked(item: np.ndarray, text: np.ndarray, lo: int, hi: int, lcs_share: float, answer_share: float) -> tuple[float, float, int, int] | None:
+def checked(item: list[int], terms: list[int], text: np.ndarray, is_term, lo: int, hi: int, lcs_share: float, answer_share: float) -> tuple[float, float, int, int] | None:
     """Whether the item stands around words lo..hi of a text: LCS share, answer share, first and last word; None if not."""
     n = len(item)
     lo, hi = max(0, lo - n), min(len(text), hi + n)
-    own = item.tolist()
     need = max(math.ceil(lcs_share * n), min(n, LEAST_WORDS))
-    found, end = common_subsequence(own, text[lo:hi].tolist())
+    near = text[lo:hi].tolist()
+    distinct = set(item)
+    if len(distinct.intersection(near)) + n - len(distinct) < need:  # no subsequence can be longer than this
+        return None
+    found, end = common_subsequence(item, near)
     if found < need:
         return None
-    near = max(lo, lo + end - n - n // 2)
-    found, back = common_subsequence(own[::-1], text[near : lo + end][::-1].tolist())
+    begin = max(lo, lo + end - n - n // 2)
+    found, back = common_subsequence(item[::-1], text[begin : lo + end][::-1].tolist())
     if found < need:
         return None
     first = lo + end - back
-    answer = own[-ANSWER_WORDS:]
-    got = common_subsequence(answer, text[first : min(len(text), lo + end + len(answer))].tolist())[0] / len(answer)
+    around = text[first : min(len(text), lo + end + ANSWER_WORDS)]
+    if common_subsequence(terms, around[is_term(around)].tolist())[0] < TERM_SHARE * len(terms):
+        return None
+    answer = item[-ANSWER_WORDS:]
+    got = common_subsequence(answer, around.tolist())[0] / len(answer)
     return (found / n, got, first, lo + end - 1) if got >= answer_share else None
 
 
-def _search(items: Items, kind: str, cosine: float, weight_share: float, lcs_share: float, answer_share: float):
+def _search(space, items, lcs_share: float, answer_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Items = items.value
-        bounds, passage, weight = own.terms
-        n_passages = len(own.passages)
+        at, own = space.value, items.value
+        step = max(64, 8_000_000 // len(own.owner))  # windows of one product
         for piece in pieces(batches, "codes", 2_000_000):
-            codes, starts = _coded(piece, kind)
+            codes, starts = _coded(piece)
             block, begin = _blocks(starts)
-            term = np.flatnonzero(codes >= 0)
-            term = term[own.weight[codes[term]] > 0]
+            column = at.columns(codes)
+            term = np.flatnonzero(column >= 0)
+            term = term[at.weight[column[term]] > 0]
             n_blocks = int(begin[-1])
-            out: list[tuple] = []
-            if len(term) and n_passages:
-                of, word = block[term], codes[term]
-                sums = _sum_rows(own.space[word], of, n_blocks)
-                last = np.zeros(n_blocks, bool)
-                last[begin[1:][np.diff(begin) > 0] - 1] = True
-                window = sums.copy()  # a block and the next of its document
-                window[:-1][~last[:-1]] += sums[1:][~last[:-1]]
-                window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
-                # The share of each passage's term weight in each window, a word counting once.
-                pair = np.concatenate([of * np.int64(len(own.words)) + word, (of[(of > 0)] - 1) * np.int64(len(own.words)) + word[of > 0]])
-                good = np.concatenate([np.ones(len(of), bool), ~last[of[of > 0] - 1]])
-                pair = np.unique(pair[good])
-                of, word = pair // len(own.words), pair % len(own.words)
-                count = bounds[word + 1] - bounds[word]
-                post = np.repeat(bounds[word], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                cell, share = np.unique(np.repeat(of, count) * n_passages + passage[post], return_inverse=True)
-                share = np.bincount(share, weights=weight[post], minlength=len(cell))
-                doc_of = np.searchsorted(begin, np.arange(n_blocks), side="right") - 1
-                for s in range(0, n_blocks, 4096):  # cosine candidates, by blocks of windows
-                    a, b = np.searchsorted(cell, [s * n_passages, (s + 4096) * n_passages])
-                    near = (window[s : s + 4096] @ own.latent.T).reshape(-1)
-                    here = cell[a:b] - s * n_passages
-                    hit = (share[a:b] >= weight_share) | ((share[a:b] >= weight_share / 2) & (near[here] >= cosine))
-                    out += [(int(doc_of[c // n_passages]), int(own.owner[c % n_passages]), int(c // n_passages), float(near[c - s * n_passages])) for c in cell[a:b][hit].tolist()]
+            window = _sums(at.vectors, column[term], block[term], n_blocks)
+            last = np.zeros(n_blocks, bool)
+            last[begin[1:][np.diff(begin) > 0] - 1] = True
+            after = np.flatnonzero(~last)
+            window[after] += window[after + 1]  # the right side is read before it is written: a block and the next of its document
+            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
+            doc_of = np.searchsorted(begin, np.arange(n_blocks), side="right") - 1
             best: dict[tuple[int, int], tuple] = {}
-            for doc, item, w, near in out:
-                lo = (w - begin[doc]) * BLOCK
-                text = codes[starts[doc] : starts[doc + 1]]
-                found = checked(own.bodies[item], text, int(lo), int(lo) + 2 * BLOCK, lcs_share, answer_share)
-                if found and ((doc, item) not in best or (found[0], near) > best[doc, item][1::-1]):
-                    best[doc, item] = (near, *found)
+            for s in range(0, n_blocks, step):
+                near = window[s : s + step] @ own.latent.T
+                w, passage = np.nonzero(near >= own.least[None, :])
+                seen = set()
+                for k, item, cosine in zip((w + s).tolist(), own.owner[passage].tolist(), near[w, passage].tolist(), strict=True):
+                    if (k, item) in seen:  # of another passage of the same item
+                        continue
+                    seen.add((k, item))
+                    doc = int(doc_of[k])
+                    lo = (k - int(begin[doc])) * BLOCK
+                    found = checked(own.bodies[item], own.terms[item], codes[starts[doc] : starts[doc + 1]], at.terms, lo, lo + 2 * BLOCK, lcs_share, answer_share)
+                    if found and ((doc, item) not in best or found[0] > best[doc, item][1]):
+                        best[doc, item] = (round(cosine, 3), *found)
             ids = piece.column("doc_id").to_pylist()
-            rows = [(ids[d], own.ids[i], *v) for (d, i), v in sorted(best.items())]
+            rows = [(ids[d], own.keys[i], *v) for (d, i), v in sorted(best.items())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], pa.int64() if k in (0, 1, 5, 6) else pa.float64()) for k in range(7)],
-                names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word", "last_word"],
+                names=["doc_id", "key", "cosine", "lcs_share", "answer_share", "first_word", "last_word"],
             )
 
     return run
 
 
-def _slice(documents: DataFrame, items: Items, rank: int, most_common: float, limits: tuple) -> DataFrame:
-    spark = documents.sparkSession
-    kind = "<i2" if len(items.words) < 1 << 15 else "<i4"
-    words = pa.array(items.words, pa.large_string())
-    many = len(items.words)
-    listed = spark.sparkContext.broadcast(words)
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, "text"):
+        flat, starts = words_of(piece.column("text"), LOWER_ALNUM)
+        codes = (hashes_of(flat) >> U64(32)).astype("<u4")
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["doc_id", "codes"])
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            flat, starts = words_of(piece.column("text"), LOWER_ALNUM)
-            codes = pc.fill_null(pc.index_in(flat, value_set=listed.value.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(kind)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["doc_id", "codes"])
 
-    coded = keep(documents.select("doc_id", "text").mapInArrow(code, "doc_id long, codes binary"), "codes")
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the benchmark's words, and under -1 its number of passages."""
+    used, passages = np.zeros(FEATURES, bool), 0
+    for piece in pieces(batches, "codes", 4_000_000):
+        codes, starts = _coded(piece)
+        used[codes >> 16] = True
+        passages += sum(max(1, -(-int(n) // BLOCK)) for n in np.diff(starts))
+    at = np.flatnonzero(used)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(np.ones(len(at), np.int64), passages))], names=["i", "n"])
+
+
+def _summed(df: DataFrame) -> dict[int, int]:
+    """Sums by number of the rows (i, n); their numbers are FEATURES + 1 at most."""
+    return {r.i: r.n for r in df.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+
+
+def _frequencies(coded: DataFrame, column: np.ndarray, columns: int) -> tuple[np.ndarray, int]:
+    """In how many passages of the documents each column's words are, and how many passages there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(many + 1, np.int64)
+        total = np.zeros(columns + 1, np.int64)
         for piece in pieces(batches, "codes", 4_000_000):
-            codes, starts = _coded(piece, kind)
+            codes, starts = _coded(piece)
             block, begin = _blocks(starts)
-            known = codes >= 0
-            total[:many] += np.bincount(np.unique(block[known] * np.int64(many) + codes[known]) % many, minlength=many)
-            total[many] += begin[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(many + 1)), pa.array(total)], names=["i", "n"])
-
-    with_word = np.zeros(many + 1)
-    for r in coded.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        with_word[r.i] = r.n
-    weigh(items, int(with_word[many]), with_word[:many], most_common)
-    omega = omega_of(many, rank)
-    weights = spark.sparkContext.broadcast(items.weight)
-    rows = 256  # words in one row of partial sums
+            at = column[codes >> 16]
+            known = np.flatnonzero(at >= 0)
+            cell = np.sort(block[known] * np.int64(columns) + at[known])
+            total[:columns] += np.bincount(cell[np.concatenate([[True], cell[1:] != cell[:-1]])] % columns if len(cell) else cell, minlength=columns)
+            total[columns] += begin[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(columns + 1)), pa.array(total)], names=["i", "n"])
+
+    sums = _summed(coded.mapInArrow(count, "i long, n long"))
+    return np.array([sums.get(i, 0) for i in range(columns)], np.float64), sums.get(columns, 0)
+
+
+def _rarest(coded: DataFrame, column: np.ndarray, with_word: np.ndarray) -> np.ndarray:
+    """The columns of the LEAST_TERMS rarest words of each passage of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term = np.zeros(len(with_word), bool)
+        for piece in pieces(batches, "codes", 4_000_000):
+            codes, starts = _coded(piece)
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                for own in passages_of(codes[a:b]):
+                    distinct = np.unique(column[own >> 16])
+                    term[distinct[np.argsort(with_word[distinct], kind="stable")[:LEAST_TERMS]]] = True
+        at = np.flatnonzero(term)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.ones(len(at), np.int64))], names=["i", "n"])
+
+    return np.array(sorted(_summed(coded.mapInArrow(run, "i long, n long"))), np.int64)
+
+
+def _sketch(coded: DataFrame, column: np.ndarray, weight: np.ndarray, rank: int) -> np.ndarray:
+    """A^T A Omega over the number of rows of A: the passages of the coded texts, each of length 1."""
+    columns = len(weight)
+    width = min(columns, rank + OVERSAMPLE)
+    rows = max(1, 32_768 // width)  # columns in one row of partial sums
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast((column, weight))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, omega = weights.value, omega_of(many, rank)
-        y = np.zeros(omega.shape, np.float32)
-        scaled = omega * weight[:, None]
+        column, weight = shared.value
+        y = np.zeros((columns, width), np.float32)
+        scaled = omega_of(columns, rank) * weight[:, None]
+        passages = 0
         for piece in pieces(batches, "codes", 2_000_000):
-            codes, starts = _coded(piece, kind)
+            codes, starts = _coded(piece)
             block, begin = _blocks(starts)
-            term = np.flatnonzero(codes >= 0)
-            term = term[weight[codes[term]] > 0]
-            of, word = block[term], codes[term]
+            at = column[codes >> 16]
+            term = np.flatnonzero(at >= 0)
+            term = term[weight[at[term]] > 0]
+            of, word = block[term], at[term]
             norm = np.bincount(of, weights=weight[word].astype(np.float64) ** 2, minlength=int(begin[-1]))
-            a = _sum_rows(scaled[word], of, int(begin[-1])) / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
+            passages += int((norm > 0).sum())
+            a = _sums(scaled, word, of, int(begin[-1])) / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
             order = np.argsort(word, kind="stable")
-            y += _sum_rows(a[of[order]] * weight[word[order]][:, None], word[order], many)
-        at = range(0, many, rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([y[i : i + rows].tobytes() for i in at], pa.binary())], names=["part", "at", "y"]
-        )
+            y += _sums(a, of[order], word[order], columns, weight[word[order]])
+        at = [*range(0, columns, rows), -1]  # -1: the number of passages
+        body = [*(y[i : i + rows].tobytes() for i in at[:-1]), np.array([passages], "<f4").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(body, pa.binary())], names=["part", "at", "y"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in table.column("y").to_pylist())
@@ -290,31 +320,72 @@ def _slice(documents: DataFrame, items: Items, rank: int, most_common: float, li
     kinds = "part int, at int, y binary"
     parts = max(1, math.isqrt(coded.rdd.getNumPartitions()))
     partial = coded.mapInArrow(sketch, kinds).withColumn("part", F.pmod("part", F.lit(parts))).groupBy("part", "at").applyInArrow(add, kinds)
-    y = np.zeros(omega.shape)
+    y, passages = np.zeros((columns, width)), 0.0
     for r in partial.groupBy("at").applyInArrow(add, kinds).collect():
-        y[r.at : r.at + rows] = np.frombuffer(r.y, "<f4").reshape(-1, omega.shape[1])
-    place(items, randomised_svd(y, omega.astype(np.float64), rank))
-    return coded.mapInArrow(_search(spark.sparkContext.broadcast(items), kind, *limits), SCHEMA)
+        if r.at < 0:
+            passages = float(np.frombuffer(r.y, "<f4")[0])
+        else:
+            y[r.at : r.at + rows] = np.frombuffer(r.y, "<f4").reshape(-1, width)
+    return y / max(passages, 1.0)
+
+
+def latent_space(coded: DataFrame, bench: DataFrame, rank: int, most_common: float) -> Space | None:
+    """The space of all passages of documents and benchmark, both weighing the same; None if the benchmark has no words."""
+    used = _summed(bench.mapInArrow(_features, "i long, n long"))
+    passages = used.pop(-1, 0)
+    if not used:
+        return None
+    column = np.full(FEATURES, -1, np.int32)
+    column[sorted(used)] = np.arange(len(used))
+    with_word, blocks = _frequencies(coded, column, len(used))
+    term = with_word <= max(most_common * blocks, LEAST_PASSAGES)
+    term[_rarest(bench, column, with_word)] = True
+    weight = np.where(term, np.log((blocks + 1) / (with_word + 1)) + 1e-3, 0.0).astype(np.float32)
+    rank = min(MOST_RANK, max(rank, passages // 8))
+    y = _sketch(coded, column, weight, rank) + _sketch(bench, column, weight, rank)
+    vectors, value = randomised_svd(y, omega_of(len(used), rank).astype(np.float64), rank)
+    good = value > LEAST_VALUE * value[0]
+    return Space(column, weight, (vectors[:, good] * weight[:, None] / np.sqrt(value[good])).astype(np.float32))
+
+
+def _slices(bench: DataFrame, slice_words: int) -> list[list[tuple[int, bytes]]] | Iterator[list[tuple[int, bytes]]]:
+    """The benchmark's texts with words, a slice at a time: at most twice slice_words words, or one text."""
+    sized = bench.select(F.col("doc_id").alias("key"), "codes", (F.length("codes") / 4).cast("long").alias("n")).where("n > 0")
+    many = max(1, math.ceil((sized.agg(F.sum("n").alias("n")).first().n or 0) / slice_words))
+    while True:
+        part = F.pmod(F.xxhash64("key"), F.lit(many))
+        worst = sized.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where(f"texts > 1 AND n > {2 * slice_words}").limit(1).count()
+        if not worst:
+            break
+        many *= 2
+    for k in range(many):
+        if rows := [(r.key, bytes(r.codes)) for r in sized.where(part == k).orderBy("key").collect()]:
+            yield rows
 
 
 def contaminated(
-    documents: DataFrame, benchmark: DataFrame, rank: int = RANK, most_common: float = MOST_COMMON, cosine: float = COSINE, weight_share: float = WEIGHT_SHARE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE, slice_words: int = SLICE_WORDS
+    documents: DataFrame, benchmark: DataFrame, rank: int = RANK, most_common: float = MOST_COMMON, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE, slice_words: int = SLICE_WORDS
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share, first_word, last_word: a row for each document (columns doc_id, text) and item (item_id, text) that stands in it.
 
     Words are runs of ASCII letters, digits and non-ASCII in lower case. Of the item's places in a document the one of the largest lcs_share is given, words from
-    0. Items of under LEAST_WORDS words count only if all stand there in order. Null and empty texts hold nothing and stand nowhere; rows with a null id are like others;
-    repeated rows of either table give repeated rows. An empty table on either side gives none.
+    0. Items of under LEAST_WORDS words count only if all stand there in order; of others LCS_SHARE of the words must, so a shorter part of a long item is no hit.
+    Null and empty texts hold nothing and stand nowhere; rows with a null id are like others; repeated rows of either table give repeated rows; of equally good
+    places the first counts. An empty table on either side gives none. Texts of any length are read whole. slice_words changes the work and no row.
     """
     spark = documents.sparkSession
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    words = texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    slices = max(1, math.ceil(words / 2 / slice_words))  # a word and a space have two characters at least
-    out = None
-    for k in range(slices):  # each slice's size is bounded, whatever the benchmark's
-        rows = [(r.item_id, r.text) for r in texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()]
-        items = items_of(rows)
-        if items.passages:
-            found = _slice(documents, items, rank, most_common, (cosine, weight_share, lcs_share, answer_share))
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    distinct = keep(texts.select("text").distinct().withColumn("doc_id", F.monotonically_increasing_id()), "texts")
+    bench = keep(distinct.mapInArrow(_codes, "doc_id long, codes binary"), "items")
+    coded = keep(documents.select("doc_id", "text").mapInArrow(_codes, "doc_id long, codes binary"), "codes")
+    space = latent_space(coded, bench, rank, most_common)
+    if space is None:
+        return spark.createDataFrame([], SCHEMA)
+    shared = spark.sparkContext.broadcast(space)
+    found = None
+    for rows in _slices(bench, slice_words):
+        items = spark.sparkContext.broadcast(items_of(rows, space, cosine))
+        part = coded.mapInArrow(_search(shared, items, lcs_share, answer_share), FOUND)
+        found = part if found is None else found.unionByName(part)
+    ids = texts.join(distinct, "text").select("item_id", F.col("doc_id").alias("key"))
+    return found.join(ids, "key").select("doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word", "last_word")
