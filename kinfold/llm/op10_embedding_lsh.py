@@ -7,8 +7,8 @@ ones more surely; unrelated vectors share a key with 1e-5 a table.
 
 Plan. Equal vectors become one class with a count first (partial aggregate), so copies cost no pairs. Tables whose buckets
 hold the very same classes are compared once. A bucket of over BLOCK classes is cut into blocks, each pair of blocks being
-one group, so a group never holds over two blocks; no pair leaves a group, only each class's sum of links and a
-spanning star. A pair that shares several buckets counts in the first table alone: a group leaves out the products within
+one group, so a group never holds over two blocks. Groups stand one after another in sorted partitions: the many small ones are
+compared together, and only their links leave; of a large one only each class's sum of links and a spanning star. A pair that shares several buckets counts in the first table alone: a group leaves out the products within
 the largest set of its members that met in an earlier table, so a tight cluster is multiplied out about once, not once a
 table. Exact counts of links need each pair of a cluster of different vectors once; that is the work that stays.
 """
@@ -16,6 +16,7 @@ table. Exact counts of links need each pair of a cluster of different vectors on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ COSINE = 0.93
 TABLES = 64
 PROJECTIONS = 16
 WIDTH = 2.0
-BLOCK = 2048
+BLOCK = 1024
+SMALL = 16  # buckets of no more rows are compared many at once
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -102,10 +104,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _least_reachable(near: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The smallest label each of all reaches by links between ``rows`` (near's rows) and all (its columns)."""
-    most = np.iinfo(np.int64).max
+    a, b = np.nonzero(near)
+    a = rows[a]
     while True:
-        new = np.minimum(label, np.where(near, label[rows][:, None], most).min(axis=0))
-        new[rows] = np.minimum(new[rows], np.where(near, label[None, :], most).min(axis=1))
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
         if (new == label).all():
             return label
         label = new
@@ -122,48 +126,141 @@ def _not_met(keys: np.ndarray) -> np.ndarray:
     return rest
 
 
-def _met_before(near: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Of the links between ``rows`` and all those whose ends share a key in one of the given tables."""
-    met = np.zeros(near.shape, bool)
-    a, b = np.nonzero(near)
-    if len(a) * 16 < near.size:  # few links: one by one
-        for s in range(0, len(a), 100_000):
-            i, j = a[s : s + 100_000], b[s : s + 100_000]
-            met[i, j] = (keys[rows[i]] == keys[j]).any(axis=1)
-    else:  # many: a table at a time for all
-        for column in keys.T:
-            met |= column[rows][:, None] == column[None, :]
-    return met
+def _new(i: np.ndarray, j: np.ndarray, keys: np.ndarray, tab: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows share no key in a table before ``tab``."""
+    out = np.empty(len(i), bool)
+    earlier = np.arange(keys.shape[1])[None, :]
+    for s in range(0, len(i), 50_000):
+        part = slice(s, s + 50_000)
+        out[part] = ~((keys[i[part]] == keys[j[part]]) & (earlier < tab[part, None])).any(axis=1)
+    return out
+
+
+@dataclass
+class Buckets:
+    """Whole buckets, one after another: columns of their rows, and where each begins."""
+
+    own: np.ndarray
+    node: np.ndarray
+    copies: np.ndarray
+    block: np.ndarray
+    split: np.ndarray  # whether the bucket's pairs are those of two blocks only
+    tab: np.ndarray
+    keys: np.ndarray
+    kind: np.ndarray  # label and length of the vector, as a number
+    vectors: list[np.ndarray]
+    begin: np.ndarray
+
+
+def _buckets(batches: list[pa.RecordBatch]) -> Buckets:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    own, node, copies, block, tab, key, lo, hi = (table.column(c).to_numpy() for c in ("class", "node", "copies", "block", "tab", "key", "lo", "hi"))
+    x = _vectors(table.column("embedding").chunk(0))
+    pair = np.stack([table.column("label").to_numpy(), np.array([len(v) for v in x])])
+    new = np.ones(len(own), bool)
+    new[1:] = (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    keys = np.stack([np.frombuffer(k, "<i8") for k in table.column("hashes").to_pylist()])
+    kind = np.unique(pair, axis=1, return_inverse=True)[1].reshape(-1)
+    return Buckets(own, node, copies, block, lo != hi, tab, keys, kind, x, np.append(np.flatnonzero(new), len(own)))
+
+
+def _lots(x: np.ndarray, step: int) -> list[np.ndarray]:
+    return [x[s : s + step] for s in range(0, len(x), step)]
+
+
+def _small(b: Buckets, first: np.ndarray, size: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """Links within buckets of a few rows, all pairs of all of them at once: a row for each link and direction."""
+    out = []
+    for n in np.unique(size):
+        i, j = np.triu_indices(n, 1)
+        at = first[size == n]
+        lot = max(1, 100_000 // len(i))
+        for s in range(0, len(at), lot):
+            x, y = (at[s : s + lot, None] + i[None, :]).reshape(-1), (at[s : s + lot, None] + j[None, :]).reshape(-1)
+            fine = (b.kind[x] == b.kind[y]) & (~b.split[x] | (b.block[x] != b.block[y]))
+            x, y = x[fine], y[fine]
+            for kind in np.unique(b.kind[x]):
+                u, v = x[b.kind[x] == kind], y[b.kind[x] == kind]
+                row, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+                unit = _unit(np.stack([b.vectors[r] for r in row]))
+                step = max(1, 4_000_000 // unit.shape[1])
+                near = [np.einsum("ij,ij->i", unit[p], unit[q]) for p, q in zip(_lots(code[: len(u)], step), _lots(code[len(u) :], step), strict=True)]
+                hit = np.flatnonzero(np.concatenate(near) >= cosine)
+                u, v = u[hit], v[hit]
+                good = _new(u, v, b.keys, b.tab[u])
+                u, v = u[good], v[good]
+                out += [np.stack([b.own[u], b.node[u], b.node[v], b.copies[v]]), np.stack([b.own[v], b.node[v], b.node[u], b.copies[u]])]
+    return out
+
+
+def _large(b: Buckets, lo: int, hi: int, cosine: float) -> list[np.ndarray]:
+    """Links within one bucket: each row's sum of links and a star."""
+    out = []
+    tab, split = int(b.tab[lo]), bool(b.split[lo])
+    for kind in np.unique(b.kind[lo:hi]):
+        at = lo + np.flatnonzero(b.kind[lo:hi] == kind)
+        keys = b.keys[at][:, :tab]
+        rows = _not_met(keys) if len(at) >= 128 else np.arange(len(at))
+        if not len(rows):
+            continue
+        unit = _unit(np.stack([b.vectors[r] for r in at]))
+        first = np.empty((len(rows), len(at)), bool)
+        for s in range(0, len(rows), 256):
+            some = rows[s : s + 256]
+            near = unit[some] @ unit.T >= cosine
+            near &= some[:, None] != np.arange(len(at))[None, :]
+            if split:  # pairs within a block are another bucket's
+                near &= b.block[at][some][:, None] != b.block[at][None, :]
+            if near.sum() * 16 < near.size:  # few links: one by one
+                i, j = np.nonzero(near)
+                near[i, j] = _new(some[i], j, keys, np.full(len(i), tab))
+            else:  # many: a table at a time for all
+                for column in keys.T:
+                    near &= column[some][:, None] != column[None, :]
+            first[s : s + 256] = near
+        root = _least_reachable(first, rows, b.node[at].copy())
+        many = b.copies[at]
+        weight = np.zeros(len(at), np.int64)
+        own = np.zeros(len(rows), np.int64)
+        for s in range(0, len(rows), 256):  # links between two of rows are in both sums
+            part = first[s : s + 256].astype(np.float64)
+            weight += (many[rows[s : s + 256]].astype(np.float64) @ part).astype(np.int64)
+            own[s : s + 256] = (part @ many.astype(np.float64)).astype(np.int64)
+        weight[rows] = own
+        some = np.flatnonzero(weight)
+        out.append(np.stack([b.own[at][some], b.node[at][some], root[some], weight[some]]))
+    return out
 
 
 def _compare(cosine: float):
-    def run(table: pa.Table) -> pa.Table:
-        tab = table.column("tab")[0].as_py()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        table = table.combine_chunks()
-        own, node, copies, block = (table.column(c).to_numpy() for c in ("class", "node", "copies", "block"))
-        x = _vectors(table.column("embedding").chunk(0))
-        label = table.column("label").to_numpy()
-        sizes = np.array([len(v) for v in x])
-        keys = np.stack([np.frombuffer(k, "<i8")[:tab] for k in table.column("hashes").to_pylist()])
-        out: list[tuple] = []
-        for dim, group in {(d, g) for d, g in zip(sizes.tolist(), label.tolist(), strict=True)}:
-            at = np.flatnonzero((sizes == dim) & (label == group))
-            rows = _not_met(keys[at])
-            if not len(rows):
+    """Links of the buckets of one partition, whose rows stand bucket by bucket."""
+    names = ("tab", "key", "lo", "hi")
+
+    def done(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = _buckets(batches)
+        size = np.diff(b.begin)
+        found = _small(b, b.begin[:-1][(size > 1) & (size <= SMALL)], size[(size > 1) & (size <= SMALL)], cosine)
+        for k in np.flatnonzero(size > SMALL):
+            found += _large(b, int(b.begin[k]), int(b.begin[k + 1]), cosine)
+        rows = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], names=["class", "a", "b", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            unit = _unit(np.stack([x[i] for i in at]))
-            first = unit[rows] @ unit.T >= cosine
-            first &= rows[:, None] != np.arange(len(at))[None, :]
-            if lo != hi:  # pairs within a block are another group's
-                first &= block[at][rows][:, None] != block[at][None, :]
-            first &= ~_met_before(first, rows, keys[at])
-            root = _least_reachable(first, rows, node[at].copy())
-            many = copies[at].astype(np.float64)
-            weight = first.T.astype(np.float64) @ many[rows]  # links between two of rows are in both sums
-            weight[rows] = first.astype(np.float64) @ many
-            out += [(int(c), int(n), int(r), int(w)) for c, n, r, w in zip(own[at], node[at], root, weight, strict=True) if w]
-        return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(("class", "a", "b", "weight"))})
+            keys = np.stack([batch.column(c).to_numpy() for c in names])
+            last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            begin = int(last[-1]) + 1 if len(last) else 0  # of the batch's last bucket, which may go on
+            if open_ and (begin or [open_[-1].column(c)[-1].as_py() for c in names] != keys[:, 0].tolist()):
+                yield done([*open_, batch.slice(0, begin)] if begin else open_)
+                open_ = []
+            elif begin:
+                yield done([batch.slice(0, begin)])
+            open_.append(batch.slice(begin))
+        if open_:
+            yield done(open_)
 
     return run
 
@@ -192,8 +289,9 @@ def linked(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     inside = entries.join(buckets, ["tab", "key"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     inside = inside.select("tab", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class")
-    found = inside.join(nodes.drop("same"), "class").groupBy("tab", "key", "lo", "hi").applyInArrow(_compare(cosine), "class long, a long, b long, weight long")
-    found = keep(found, "found")
+    order = ("tab", "key", "lo", "hi")
+    inside = inside.join(nodes.drop("same"), "class").repartition(*order).sortWithinPartitions(*order)
+    found = keep(inside.mapInArrow(_compare(cosine), "class long, a long, b long, weight long"), "found")
     degree = nodes.join(found.groupBy("class").agg(F.sum("weight").alias("links")), "class").select("same", "links")
     member = hashed.join(classes, "same", "left").select("vec_id", "same", F.coalesce("node", "vec_id").alias("node"), "copies")
     shared = hashed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.count("same").alias("fine"), F.min("same").alias("lo"), F.max("same").alias("hi"))
