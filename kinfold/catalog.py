@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.functions import similarity as S
 from kinfold.functions import text as T
 from kinfold.operators import blocking, features, metric, outputs, pairs, vectors
 from kinfold.operators.blocking import Blocking
 from kinfold.plans import diagnostics, linkage
-from kinfold.sources.tables import records, truth
+from kinfold.runtime import keep
+from kinfold.sources.tables import INDIC, LONGEST_WORD, NAME_WORDS, TRUTH_WORDS, WORD, record_vectors, records, truth
 
 TIGHT = Blocking(cap=20, number_cap=10)  # the default caps don't bind on the small test tables
 WIDE = Blocking()
@@ -36,7 +38,14 @@ def query(sql: str | None = None):
 _PUNCT = T.PUNCTUATION
 _LEGAL = "(^|\\x01)(" + "|".join(sorted(T.LEGAL_FORMS, key=len, reverse=True)).replace(" ", "\\x01 \\x01") + ")(\\x01|$)"
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.ABBREVIATIONS.items()) + "}"
-_NAME = "substr(split_part(text, chr(10), 1), 1, 60)"
+
+
+def _longest_sql(text: str, n: int) -> str:
+    words = f"list_filter(list_distinct(regexp_extract_all(coalesce({text}, ''), '{WORD}')), lambda w: length(w) <= {LONGEST_WORD})"
+    return f"array_to_string(list_transform(list_sort(list_transform({words}, lambda w: {{'n': -length(w), 'w': w}}))[1:{n}], lambda x: x.w), ' ')"
+
+
+_NAME = f"(CASE WHEN doc_id % 7 = 0 THEN name0 || ' {INDIC}' ELSE name0 END)"
 _ID = "'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 8, '0')"
 
 
@@ -45,11 +54,11 @@ def _records_sql(noisy: bool) -> str:
     if noisy:
         name = (
             f"CASE WHEN doc_id % 3 = 0 THEN {_NAME} WHEN doc_id % 5 = 0 THEN {_NAME} || ' LLC' WHEN doc_id % 5 = 1 THEN 'Inc ' || {_NAME} "
-            f"WHEN doc_id % 5 = 2 THEN {_NAME} || ' | www.x.com' WHEN doc_id % 5 = 3 THEN replace({_NAME}, ' and ', ' & ') ELSE {_NAME} END"
+            f"WHEN doc_id % 5 = 2 THEN {_NAME} || ' | www.x.com' WHEN doc_id % 5 = 3 THEN regexp_replace({_NAME}, '^(\\S+) ', '\\1 & ') ELSE {_NAME} END"
         )
     return (
         f"r AS (SELECT (doc_id % 3 + 1)::INT AS source, {_ID} AS entity_id, {name} AS business_name, "
-        "n_chars || ' ' || documents.source || ' rd, near ' || lang AS business_address, lang AS country FROM documents)"
+        f"n_chars || ' ' || d0.source || ' rd, near ' || lang AS business_address, lang AS country FROM (SELECT *, {_longest_sql('text', NAME_WORDS)} AS name0 FROM documents) d0)"
     )
 
 
@@ -94,8 +103,8 @@ p AS (SELECT entity_id, candidate_id, concat_ws(',', CASE WHEN kinds & 1 > 0 THE
   CASE WHEN kinds & 4 > 0 THEN 'name_prefix' END, CASE WHEN kinds & 8 > 0 THEN 'name_token' END) AS match_keys, bit_count(kinds)::INT AS n_keys FROM p0)"""
 
 
-_TRUTH_SQL = f"""d AS (SELECT doc_id, {_ID} AS id, lang, lower(substr(text, 1, 200)) AS begin_ FROM documents),
-gt AS (SELECT DISTINCT a.id AS entity_id, b.id AS candidate_id, a.lang AS country FROM d a JOIN d b ON a.lang = b.lang AND a.begin_ = b.begin_ WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0)"""
+_TRUTH_SQL = f"""d AS (SELECT doc_id, {_ID} AS id, lang, {_longest_sql('lower(text)', TRUTH_WORDS)} AS words FROM documents),
+gt AS (SELECT DISTINCT a.id AS entity_id, b.id AS candidate_id, a.lang AS country FROM d a JOIN d b ON a.lang = b.lang AND a.words = b.words WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0 AND a.words <> '')"""
 
 _ENTITIES_SQL = f"e AS (SELECT {_ID} AS entity_id, lang AS country FROM documents WHERE doc_id % 3 = 0)"
 _JACCARD = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
@@ -115,8 +124,8 @@ s AS (SELECT top.entity_id, top.candidate_id, round({_jaccard_sql('name_tokens')
 
 
 def _norm(spark, folder, noisy=False):
-    """Kept in memory and on disk: counts, joins and features all read it."""
-    return blocking.normalised(records(spark, folder, noisy)).persist()
+    """Written once: counts, joins and features all read it, each the columns it needs."""
+    return keep(blocking.normalised(records(spark, folder, noisy)), "norm")
 
 
 def _raw(spark, folder, cfg=WIDE):
@@ -127,15 +136,21 @@ def _labelled(spark, folder):
     return pairs.labelled(_raw(spark, folder), truth(spark, folder))
 
 
+def _found(spark, folder):
+    """The true pairs among the candidates, label 1."""
+    rows = blocking.capped(blocking.postings(_norm(spark, folder), WIDE), WIDE)
+    return blocking.found_of(truth(spark, folder), rows).withColumn("label", F.lit(1))
+
+
 def _entities(spark, folder):
     return records(spark, folder).where("source = 1").select("entity_id")
 
 
 def _scores(spark, folder):
     norm = _norm(spark, folder)
-    top = blocking.top_candidates(blocking.candidates(norm, WIDE), WIDE.most_candidates)
-    rows = features.features(top, norm, ("name_token_jaccard",))
-    return top, rows.select("entity_id", "candidate_id", F.round("name_token_jaccard", 6).alias("score"))
+    top = keep(blocking.top_candidates(blocking.candidates(norm, WIDE), WIDE.most_candidates), "top")
+    rows = features.features(top, norm, ("n_keys", "name_token_jaccard"))
+    return top, rows.select("entity_id", "candidate_id", "n_keys", F.round("name_token_jaccard", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- text
@@ -159,7 +174,7 @@ def char_ngrams(spark, folder):
 @query(
     f"WITH {_records_sql(False)}, t AS (SELECT entity_id, business_name || ' ' || business_address AS x FROM r) SELECT entity_id, "
     + ", ".join(f"regexp_matches(x, '[\\x{{{lo:04x}}}-\\x{{{hi:04x}}}]') AS {n}" for n, (lo, hi) in T.SCRIPTS.items())
-    + ", regexp_matches(regexp_replace(x, '[\\x00-\\x7F]', '', 'g'), '\\p{L}') AS non_latin_other, regexp_matches(x, '[\\x{0900}-\\x{0D7F}]') AS any_indic FROM t"
+    + ", regexp_matches(regexp_replace(x, '[\\x00-\\x7F" + "".join(f"\\x{{{lo:04x}}}-\\x{{{hi:04x}}}" for lo, hi in T.SCRIPTS.values()) + "]', '', 'g'), '\\p{L}') AS non_latin_other, regexp_matches(x, '[\\x{0900}-\\x{0D7F}]') AS any_indic FROM t"
 )
 def script_flags(spark, folder):
     return _norm(spark, folder).select("entity_id", "scripts.*")
@@ -217,13 +232,13 @@ def labels(spark, folder):
 
 @query(f"WITH {_LABELLED_SQL} {_RECALL.format(by='', lab='lab')}")
 def blocking_recall(spark, folder):
-    return pairs.recall(_labelled(spark, folder), truth(spark, folder))
+    return pairs.recall(_found(spark, folder), truth(spark, folder))
 
 
 @query(f"WITH {_LABELLED_SQL} {_RECALL.format(by='country,', lab='lab')} GROUP BY ROLLUP (country)")
 def recall_by_country(spark, folder):
     true = truth(spark, folder).join(records(spark, folder).select("entity_id", "country"), "entity_id")
-    found = _labelled(spark, folder)
+    found = keep(_found(spark, folder), "found")
     total = pairs.recall(found, true.select("entity_id", "candidate_id")).withColumn("country", F.lit(None).cast("string"))
     return pairs.recall(found, true, "country").unionByName(total)
 
@@ -233,7 +248,21 @@ def recall_by_country(spark, folder):
     f"SELECT *, 'pre_cap' AS stage FROM ({_RECALL.format(by='', lab='lab')}) UNION ALL SELECT *, 'post_cap' FROM ({_RECALL.format(by='', lab='capped')})"
 )
 def recall_before_and_after_cap(spark, folder):
-    return diagnostics.before_and_after_cap(_labelled(spark, folder), truth(spark, folder), 20)
+    return diagnostics.before_and_after_cap(keep(_labelled(spark, folder), "labels"), truth(spark, folder), 20)
+
+
+@query(
+    f"WITH {_LABELLED_SQL}, capped AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n_keys DESC, candidate_id) <= 20) "
+    f"SELECT *, 'pre_cap' AS stage FROM ({_RECALL.format(by='country,', lab='lab')} GROUP BY country) UNION ALL SELECT *, 'post_cap' FROM ({_RECALL.format(by='country,', lab='capped')} GROUP BY country)"
+)
+def cap_report_by_country(spark, folder):
+    true = truth(spark, folder).join(records(spark, folder).select("entity_id", "country"), "entity_id")
+    return diagnostics.before_and_after_cap(keep(_labelled(spark, folder), "labels"), true, 20, "country")
+
+
+@query(f"WITH {_LABELLED_SQL}, en AS (SELECT {_ID} AS entity_id, lang AS country FROM documents) SELECT country, count(DISTINCT lab.entity_id) AS entities_with_candidates, count(*) AS candidates FROM lab JOIN en USING (entity_id) GROUP BY country")
+def candidate_coverage(spark, folder):
+    return diagnostics.candidate_coverage(_raw(spark, folder), records(spark, folder))
 
 
 _RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY {order} candidate_id) AS rank FROM lab), caps AS (SELECT unnest([" + ", ".join(map(str, SWEEP)) + "])::INT AS cap)"
@@ -256,6 +285,14 @@ def rank_analysis(spark, folder):
     return diagnostics.rank_analysis(_labelled(spark, folder))
 
 
+@query(
+    f"WITH {_LABELLED_SQL}, {_RANKED.format(order='n_keys DESC,')} SELECT cap, sum(label)::BIGINT AS found, (SELECT sum(label)::BIGINT FROM lab) AS found_by_blocking, "
+    "round(sum(label) / (SELECT sum(label) FROM lab), 6) AS recall FROM rk JOIN caps ON rank <= cap GROUP BY cap"
+)
+def recall_of_found(spark, folder):
+    return diagnostics.recall_of_found(keep(_labelled(spark, folder), "labels"), SWEEP)
+
+
 @query(f"WITH {_LABELLED_SQL} SELECT n_keys, count(*) AS true_pairs FROM lab WHERE label = 1 GROUP BY 1")
 def keys_histogram(spark, folder):
     return diagnostics.keys_histogram(_labelled(spark, folder))
@@ -289,6 +326,9 @@ def _same(c: str) -> str:
     return f"(a.{c} = b.{c} AND a.{c} <> '')::INT"
 
 
+_INDIC_B = "regexp_matches(b.name_clean, '[\\x{0901}-\\x{0D7E}]')"
+_INDIC_A = "(regexp_matches(a.name_clean, '[\\x{0901}-\\x{0D7E}]') AND len(a.name_tokens) > 0)"
+
 _FEATURE_SQL = {
     "n_keys": "p.n_keys", "matched_by_token": "contains(match_keys, 'name_token')::INT", "matched_by_prefix": "contains(match_keys, 'name_prefix')::INT",
     "matched_by_number": "contains(match_keys, 'addr_number')::INT", "matched_by_ngram": "contains(match_keys, 'name_ngram')::INT",
@@ -300,7 +340,7 @@ _FEATURE_SQL = {
     "name_len_diff": "abs(length(a.name_core) - length(b.name_core))::INT", "has_suffix_s1": "(a.name_suffix <> '')::INT", "has_suffix_cand": "(b.name_suffix <> '')::INT",
     "suffix_equal": _same("name_suffix"), "addr_token_jaccard": f"round({_jaccard_sql('addr_tokens')}, 6)", "addr_number_jaccard": f"round({_jaccard_sql('addr_numbers')}, 6)",
     "addr_len_ratio": "round(least(length(a.addr_clean), length(b.addr_clean)) / greatest(length(a.addr_clean), length(b.addr_clean), 1), 6)",
-    "both_have_address": "(a.addr_clean <> '' AND b.addr_clean <> '')::INT", "both_indic_script": "0", "script_mismatch": "0", "embedding_score": "NULL::DOUBLE", "has_embedding_score": "0",
+    "both_have_address": "(a.addr_clean <> '' AND b.addr_clean <> '')::INT", "both_indic_script": f"({_INDIC_A} AND {_INDIC_B})::INT", "script_mismatch": f"({_INDIC_A} <> {_INDIC_B})::INT", "embedding_score": "NULL::DOUBLE", "has_embedding_score": "0",
 }
 _JOINED_SQL = "FROM p JOIN norm a ON a.entity_id = p.entity_id JOIN norm b ON b.entity_id = p.candidate_id"
 _ROUNDED = ("name_token_jaccard", "name_char_jaccard", "name_len_ratio", "addr_token_jaccard", "addr_number_jaccard", "addr_len_ratio", *features.RATIOS)
@@ -336,7 +376,34 @@ def pair_features_wide(spark, folder):
     return _features(spark, folder, features.NATIVE)
 
 
-@query()
+# The ratios of strings of at most 126 characters: a subsequence's bits in one integer, a step for each character of b.
+def _reduced(masks: str) -> str:
+    return f"list_reduce(list_concat([ones], {masks}), lambda s, m: ((s + (s & m)) | (s - (s & m))) & ones)"
+
+
+def _common_sql(table: str, keep: str) -> str:
+    """Rows (a, b) with a's length n, all its bits set (ones), and for each character of b its places in a as bits (masks)."""
+    return f"""(SELECT *, list_transform(string_split(b, ''), lambda c: list_sum(list_transform(string_split(a, ''), lambda x, i: CASE WHEN x = c THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::HUGEINT) AS masks
+  FROM (SELECT *, length(a) AS n, (1::HUGEINT << length(a)) - 1 AS ones FROM {table}) WHERE {keep})"""
+
+
+_SORTED = "array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda w: w <> '')), ' ')"
+_FUZZ_SQL = f"""fp AS MATERIALIZED (SELECT p.entity_id, p.candidate_id, a.name_core AS ca, b.name_core AS cb, {_SORTED.format(x='a.name_core')} AS sa, {_SORTED.format(x='b.name_core')} AS sb,
+  a.addr_clean AS aa, b.addr_clean AS ab, {_SORTED.format(x='a.addr_clean')} AS ta, {_SORTED.format(x='b.addr_clean')} AS tb, p.match_keys, p.n_keys {_JOINED_SQL}),
+st AS MATERIALIZED (SELECT ca AS a, cb AS b FROM fp UNION SELECT sa, sb FROM fp UNION SELECT aa, ab FROM fp UNION SELECT ta, tb FROM fp),
+rt AS MATERIALIZED (SELECT a, b, 2 * (n - bit_count({_reduced('masks')})) / (n + length(b))::DOUBLE AS v FROM {_common_sql('st', "a <> '' AND b <> ''")}),
+pp AS MATERIALIZED (SELECT DISTINCT ca AS x, cb AS y FROM fp WHERE ca <> '' AND cb <> ''),
+pq AS MATERIALIZED (SELECT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM pp
+  UNION ALL SELECT x, y, y, x FROM pp WHERE length(x) = length(y)),
+pr AS MATERIALIZED (SELECT x, y, max(v) AS v FROM (SELECT x, y, 1.0::DOUBLE AS v FROM pq WHERE contains(b, a) UNION ALL
+  SELECT x, y, list_max(list_transform(range(1 - n, length(b)), lambda i: 2 * (n - bit_count({_reduced('masks[(greatest(i, 0) + 1):(least(i + n, length(b)))]')})) / (n + least(i + n, length(b)) - greatest(i, 0))::DOUBLE)) FROM {_common_sql('pq', 'NOT contains(b, a)')})
+  GROUP BY x, y),
+fz AS (SELECT fp.entity_id, fp.candidate_id, round(coalesce(r1.v, 0), 6) AS name_levenshtein_ratio, round(coalesce(r2.v, 0), 6) AS name_token_sort_ratio, round(coalesce(pr.v, 0), 6) AS name_partial_ratio,
+  round(coalesce(r3.v, 0), 6) AS addr_levenshtein_ratio, round(coalesce(r4.v, 0), 6) AS addr_token_sort_ratio FROM fp LEFT JOIN rt r1 ON r1.a = ca AND r1.b = cb LEFT JOIN rt r2 ON r2.a = sa AND r2.b = sb
+  LEFT JOIN rt r3 ON r3.a = aa AND r3.b = ab LEFT JOIN rt r4 ON r4.a = ta AND r4.b = tb LEFT JOIN pr ON pr.x = ca AND pr.y = cb)"""
+
+
+@query(f"WITH {_pairs_sql(WIDE, noisy=True)},\n{_FUZZ_SQL} SELECT * FROM fz")
 def fuzz_features(spark, folder):
     return _features(spark, folder, features.RATIOS)
 
@@ -357,6 +424,20 @@ def _weighted(spark, folder, cfg):
     return rows.select("entity_id", "candidate_id", *[F.round(n, 6).alias(n) for n in features.HAND_WEIGHTS])
 
 
+@query(
+    f"WITH {_pairs_sql(TIGHT, noisy=True)}, ev AS (SELECT {_ID} AS entity_id, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id), "
+    f"sc AS (SELECT p.entity_id, p.candidate_id, {_INDIC_A} AS ia, {_INDIC_B} AS ib, round(list_cosine_similarity(x.v, y.v), 6) AS c {_JOINED_SQL} LEFT JOIN ev x ON x.entity_id = p.entity_id LEFT JOIN ev y ON y.entity_id = p.candidate_id) "
+    "SELECT entity_id, candidate_id, (ia AND ib)::INT AS both_indic_script, (ia <> ib)::INT AS script_mismatch, c AS embedding_score, (c IS NOT NULL)::INT AS has_embedding_score FROM sc"
+)
+def embedding_features(spark, folder):
+    """Features of scripts and of vectors, which only some records have."""
+    norm, v = _norm(spark, folder, noisy=True), record_vectors(spark, folder)
+    rows = blocking.candidates(norm, TIGHT).join(v.withColumnRenamed("embedding", "va"), "entity_id", "left")
+    rows = rows.join(v.select(F.col("entity_id").alias("candidate_id"), F.col("embedding").alias("vb")), "candidate_id", "left")
+    rows = rows.withColumn("embedding_score", F.round(S.cosine(F.col("va"), F.col("vb")), 6)).drop("va", "vb")
+    return features.features(rows, norm, ("both_indic_script", "script_mismatch", "embedding_score", "has_embedding_score"))
+
+
 @query(_weighted_sql(TIGHT))
 def weighted_rankings_native(spark, folder):
     """The hand-weighted scores without the string ratios, which SQL can't say."""
@@ -368,14 +449,29 @@ def weighted_rankings_native_wide(spark, folder):
     return _weighted(spark, folder, WIDE)
 
 
-@query()
+RANKING_CAPS = (60, 100, 150)
+
+
+def _rankings_sql() -> str:
+    value = {n: " + ".join(["0.0::DOUBLE", *(f"{w} * {'fz.' + c if c in features.RATIOS else _FEATURE_SQL[c]}" for c, w in own.items())]) for n, own in features.HAND_WEIGHTS.items()}
+    each = " UNION ALL ".join(f"SELECT '{n}' AS ranking, entity_id, candidate_id, label, {n} AS value FROM wv" for n in value)
+    return (
+        f"WITH {_LABELLED_SQL},\n{_FUZZ_SQL}, wv AS MATERIALIZED (SELECT p.entity_id, p.candidate_id, p.label, " + ", ".join(f"round({x}, 6) AS {n}" for n, x in value.items())
+        + f" FROM lab p JOIN norm a ON a.entity_id = p.entity_id JOIN norm b ON b.entity_id = p.candidate_id JOIN fz ON fz.entity_id = p.entity_id AND fz.candidate_id = p.candidate_id), "
+        f"rk AS (SELECT ranking, label, row_number() OVER (PARTITION BY ranking, entity_id ORDER BY value DESC, candidate_id) AS rank FROM ({each})), caps AS (SELECT unnest({list(RANKING_CAPS)})::INT AS cap) "
+        "SELECT cap, sum(label)::BIGINT AS found, round(sum(label) / (SELECT count(*) FROM gt), 6) AS recall, ranking FROM rk JOIN caps ON rank <= cap GROUP BY cap, ranking"
+    )
+
+
+@query(_rankings_sql())
 def weighted_rankings(spark, folder):
     """Recall at three caps of the hand-weighted scores."""
     norm, true = _norm(spark, folder), truth(spark, folder)
     rows = features.features(pairs.labelled(blocking.candidates(norm, WIDE), true), norm)
+    rows = keep(rows.select("entity_id", "candidate_id", "label", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in features.ALL]), "features")
     out = None
     for name, weights in features.HAND_WEIGHTS.items():
-        one = diagnostics.recall_at(features.weighted(rows, weights, "raw").withColumn("value", F.round("raw", 6)), true, (60, 100, 150), F.desc("value")).withColumn("ranking", F.lit(name))
+        one = diagnostics.recall_at(features.weighted(rows, weights, "raw").withColumn("value", F.round("raw", 6)), true, RANKING_CAPS, F.desc("value")).withColumn("ranking", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -385,9 +481,7 @@ def weighted_rankings(spark, folder):
     "QUALIFY row_number() OVER (PARTITION BY s.entity_id ORDER BY s.score DESC, top.n_keys DESC, s.candidate_id) <= 20"
 )
 def rerank_topk(spark, folder):
-    top, scores = _scores(spark, folder)
-    rows = top.select("entity_id", "candidate_id", "n_keys").join(scores.withColumnRenamed("score", "pre_rank_score"), ["entity_id", "candidate_id"])
-    return linkage.reranked(rows, 20)
+    return linkage.reranked(_scores(spark, folder)[1].withColumnRenamed("score", "pre_rank_score"), 20)
 
 
 # ---------------------------------------------------------------- vectors
@@ -512,7 +606,7 @@ _U = "(('0x' || substr(md5('42|' || entity_id || '|' || candidate_id), 1, 13))::
     "SELECT entity_id, candidate_id, match_keys, n_keys, label FROM lab WHERE label = 1 UNION ALL SELECT entity_id, candidate_id, match_keys, n_keys, label FROM neg JOIN np USING (entity_id) WHERE rn <= CASE WHEN n_pos > 0 THEN 6 * n_pos ELSE 6 END"
 )
 def negative_sample(spark, folder):
-    return pairs.sampled(_labelled(spark, folder))
+    return pairs.sampled(keep(_labelled(spark, folder), "labels"))
 
 
 @query(

@@ -17,6 +17,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """In double precision; null if a vector is null or zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(length > 0, dot(a, b) / length)
+
+
 def length_ratio(a: Column, b: Column) -> Column:
     return F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
 

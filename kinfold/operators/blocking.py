@@ -1,7 +1,7 @@
 """Candidate pairs by shared keys.
 
 All four kinds of key are exploded into one relation (source, country, kind, key, entity_id), so that one count, one
-semi-join and one join serve them all. A key that too many records of one source share is no key: the count that decides is
+anti-join and one join serve them all. A key that too many records of one source share is no key: the count that decides is
 aggregated partially, and the cap bounds what any key can join to. The kinds a pair agrees on are bits of one integer.
 """
 
@@ -17,6 +17,8 @@ from kinfold.functions import text as T
 #: Kinds of key; their order is that of the bits, and alphabetical.
 KINDS = ("addr_number", "name_ngram", "name_prefix", "name_token")
 
+MOST_BROADCAST = 500_000  # keys over the cap that a broadcast may hold
+
 
 @dataclass(frozen=True)
 class Blocking:
@@ -62,11 +64,20 @@ def postings(norm: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
 
 
 def capped(rows: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
-    """Postings without the keys that more records of their source and country share than the cap of their kind."""
-    cap = F.when(F.col("kind") == KINDS.index("addr_number"), cfg.number_cap).otherwise(cfg.cap)
+    """Postings without the keys that more records of their source and country share than the cap of their kind.
+
+    The keys over the cap are few (their number is checked), so the postings, the hot ones above all, are not shuffled to drop them.
+    """
     by = ["source", "country", "kind", "key"]
-    fine = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select(*by)
-    return rows.join(fine, by, "left_semi")
+    over = over_cap(rows, cfg)
+    few = over.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(over) if few else over, by, "left_anti")
+
+
+def over_cap(rows: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
+    """source, country, kind, key of the keys that too many records share: at most rows / cap of them, counted by a partial aggregate."""
+    cap = F.when(F.col("kind") == KINDS.index("addr_number"), cfg.number_cap).otherwise(cfg.cap)
+    return rows.groupBy("source", "country", "kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).drop("n")
 
 
 def key_pairs(rows: DataFrame) -> DataFrame:
@@ -77,6 +88,14 @@ def key_pairs(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("entity_id", "candidate_id").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
 
 
+def found_of(truth: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of the truth that share a key of these (capped) postings, found from the truth: no other candidate pair is made."""
+    by = ["country", "kind", "key"]
+    one = truth.join(rows.where("source = 1").select("entity_id", *by), "entity_id")
+    other = rows.where("source <> 1").select(F.col("entity_id").alias("candidate_id"), *by)
+    return one.join(other, ["candidate_id", *by], "left_semi").select("entity_id", "candidate_id").distinct()
+
+
 def rendered(pairs: DataFrame) -> DataFrame:
     """match_keys (names of the kinds, comma-joined) and n_keys instead of kinds."""
     names = [F.when(F.col("kinds").bitwiseAND(1 << b) != 0, F.lit(k)) for b, k in enumerate(KINDS)]

@@ -11,19 +11,36 @@ CAPS = (60, 80, 100, 120, 150, 200, 300)
 QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def before_and_after_cap(raw: DataFrame, truth: DataFrame, most: int) -> DataFrame:
-    """Recall of all candidates and of the capped ones; raw is labelled."""
-    one = pairs.recall(raw, truth).withColumn("stage", F.lit("pre_cap"))
-    return one.unionByName(pairs.recall(blocking.top_candidates(raw, most), truth).withColumn("stage", F.lit("post_cap")))
+def before_and_after_cap(raw: DataFrame, truth: DataFrame, most: int, *by: str) -> DataFrame:
+    """Recall of all candidates and of the capped ones; raw is labelled. ``by`` names columns of truth to group by."""
+    one = pairs.recall(raw, truth, *by).withColumn("stage", F.lit("pre_cap"))
+    return one.unionByName(pairs.recall(blocking.top_candidates(raw, most), truth, *by).withColumn("stage", F.lit("post_cap")))
+
+
+def candidate_coverage(raw: DataFrame, records: DataFrame) -> DataFrame:
+    """For each country: entities with candidates, and candidates."""
+    each = raw.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).join(records.select("entity_id", "country"), "entity_id")
+    return each.groupBy("country").agg(F.count(F.lit(1)).alias("entities_with_candidates"), F.sum("n").alias("candidates"))
+
+
+def recall_of_found(raw: DataFrame, caps: tuple[int, ...] = CAPS) -> DataFrame:
+    """cap, found, found_by_blocking, recall: what a cap leaves of the true pairs that blocking found."""
+    total = F.broadcast(raw.agg(F.sum("label").alias("found_by_blocking")))
+    share = F.when(F.col("found_by_blocking") > 0, F.round(F.col("found") / F.col("found_by_blocking"), 6))
+    return _at_caps(blocking.ranked(raw), caps).crossJoin(total).select("cap", "found", "found_by_blocking", share.alias("recall"))
+
+
+def _at_caps(ranked: DataFrame, caps: tuple[int, ...]) -> DataFrame:
+    """cap, candidates, found: sums of one pass over ranked pairs, a few numbers a task."""
+    within = [F.sum(F.when(F.col("rank") <= c, v)).alias(f"{n}{c}") for c in caps for n, v in (("n", F.lit(1)), ("f", F.col("label")))]
+    rows = [F.struct(F.lit(c).alias("cap"), F.coalesce(F.col(f"n{c}"), F.lit(0)).alias("candidates"), F.coalesce(F.col(f"f{c}"), F.lit(0)).alias("found")) for c in caps]
+    return ranked.agg(*within).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("candidates > 0")
 
 
 def cap_sweep(raw: DataFrame, truth: DataFrame, entities: DataFrame, caps: tuple[int, ...] = CAPS) -> DataFrame:
-    """cap, candidates, their mean over all entities, found, recall: ranked once, each pair counted for the caps it is within."""
-    rank = blocking.ranked(raw)
-    at = F.filter(F.array(*[F.lit(c) for c in caps]), lambda c: F.col("rank") <= c)
-    rows = rank.withColumn("cap", F.explode(at)).groupBy("cap").agg(F.count(F.lit(1)).alias("candidates"), F.sum("label").alias("found"))
+    """cap, candidates, their mean over all entities, found, recall: ranked once, summed once."""
     totals = truth.distinct().agg(F.count(F.lit(1)).alias("total_true")).crossJoin(entities.select("entity_id").distinct().agg(F.count(F.lit(1)).alias("n")))  # one row each
-    rows = rows.crossJoin(F.broadcast(totals))
+    rows = _at_caps(blocking.ranked(raw), caps).crossJoin(F.broadcast(totals))
     return rows.select(
         "cap", "candidates", F.round(F.col("candidates") / F.col("n"), 6).alias("mean_candidates"), "found", "total_true",
         F.when(F.col("total_true") > 0, F.round(F.col("found") / F.col("total_true"), 6)).alias("recall"),
@@ -57,10 +74,9 @@ def tie_groups(raw: DataFrame) -> DataFrame:
 
 def recall_at(raw: DataFrame, truth: DataFrame, caps: tuple[int, ...], *order) -> DataFrame:
     """cap, found, recall with the pairs in a given order."""
-    at = F.filter(F.array(*[F.lit(c) for c in caps]), lambda c: F.col("rank") <= c)
-    rows = blocking.ranked(raw, *order).withColumn("cap", F.explode(at)).groupBy("cap").agg(F.sum("label").alias("found"))
     total = F.broadcast(truth.distinct().agg(F.count(F.lit(1)).alias("total_true")))
-    return rows.crossJoin(total).select("cap", "found", F.when(F.col("total_true") > 0, F.round(F.col("found") / F.col("total_true"), 6)).alias("recall"))
+    rows = _at_caps(blocking.ranked(raw, *order), caps).crossJoin(total)
+    return rows.select("cap", "found", F.when(F.col("total_true") > 0, F.round(F.col("found") / F.col("total_true"), 6)).alias("recall"))
 
 
 def tie_upper_bound(raw: DataFrame, truth: DataFrame, caps: tuple[int, ...] = CAPS) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Makes this package importable on the executors."""
+"""Makes this package importable on the executors, and keeps tables between steps."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,22 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local master gets a folder of this machine; a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="kinfold-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses none of it."""
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark), "kinfold", uuid.uuid4().hex, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,26 +1,43 @@
-"""Records, truth and scores derived from the test tables."""
+"""Records and truth derived from the test tables: names and truth come from whole texts, addresses from the other columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"  # ASCII letters and everything beyond ASCII
+LONGEST_WORD = 20
+NAME_WORDS, TRUTH_WORDS = 5, 12
+INDIC = "कमल"  # every seventh record's name has a word of another script
+
+
+def longest_words(text: Column, n: int) -> Column:
+    """The n longest distinct words of a whole text (none of over LONGEST_WORD letters), by length and then alphabet, joined by spaces."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))), lambda w: F.length(w) <= LONGEST_WORD)
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.array_join(F.transform(F.slice(ordered, 1, n), lambda x: x["w"]), " ")
+
+
+def _id(number: Column) -> Column:
+    return F.concat(F.lit("S"), number, F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+
 
 def records(spark: SparkSession, folder: str, noisy: bool = False) -> DataFrame:
     """documents as records of three sources; ``noisy`` changes the names of sources 2 and 3."""
     d = spark.read.parquet(f"{folder}/documents.parquet")
     number = (F.col("doc_id") % 3 + 1).cast("int")
-    name = F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 60)
+    name = longest_words(F.col("text"), NAME_WORDS)
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(name, F.lit(f" {INDIC}"))).otherwise(name)
     if noisy:
         kind = F.col("doc_id") % 5
         changed = (
             F.when(kind == 0, F.concat(name, F.lit(" LLC"))).when(kind == 1, F.concat(F.lit("Inc "), name)).when(kind == 2, F.concat(name, F.lit(" | www.x.com")))
-            .when(kind == 3, F.replace(name, F.lit(" and "), F.lit(" & "))).otherwise(name)
+            .when(kind == 3, F.regexp_replace(name, r"^(\S+) ", "$1 & ")).otherwise(name)
         )
         name = F.when(number == 1, name).otherwise(changed)
     return d.select(
         number.alias("source"),
-        F.concat(F.lit("S"), number, F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("entity_id"),
+        _id(number).alias("entity_id"),
         name.alias("business_name"),
         F.concat(F.col("n_chars").cast("string"), F.lit(" "), "source", F.lit(" rd, near "), "lang").alias("business_address"),
         F.col("lang").alias("country"),
@@ -28,10 +45,17 @@ def records(spark: SparkSession, folder: str, noisy: bool = False) -> DataFrame:
 
 
 def truth(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs (entity_id, candidate_id): records of source 1 and of the others that begin alike in one country."""
+    """Pairs (entity_id, candidate_id): records of source 1 and of the others of one country whose texts have the same longest words in lower case."""
     d = spark.read.parquet(f"{folder}/documents.parquet")
     number = (F.col("doc_id") % 3 + 1).cast("int")
-    rows = d.select(number.alias("source"), F.concat(F.lit("S"), number, F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"), "lang", F.lower(F.substring("text", 1, 200)).alias("begin"))
-    one = rows.where("source = 1").select(F.col("id").alias("entity_id"), "lang", "begin")
-    other = rows.where("source > 1").select(F.col("id").alias("candidate_id"), "lang", "begin")
-    return one.join(other, ["lang", "begin"]).select("entity_id", "candidate_id")
+    rows = d.select(number.alias("source"), _id(number).alias("id"), "lang", longest_words(F.lower("text"), TRUTH_WORDS).alias("words")).where("words <> ''")
+    one = rows.where("source = 1").select(F.col("id").alias("entity_id"), "lang", "words")
+    other = rows.where("source > 1").select(F.col("id").alias("candidate_id"), "lang", "words")
+    return one.join(other, ["lang", "words"]).select("entity_id", "candidate_id")
+
+
+def record_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """entity_id and embedding of the records whose doc_id is a vec_id."""
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id")
+    return d.join(v, "doc_id").select(_id((F.col("doc_id") % 3 + 1).cast("int")).alias("entity_id"), "embedding")
