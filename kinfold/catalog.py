@@ -486,34 +486,35 @@ def rerank_topk(spark, folder):
 
 # ---------------------------------------------------------------- vectors
 
-_KNN = """q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0),
+_KNN = """q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 nn AS (SELECT q.vec_id AS entity_id, c.vec_id AS candidate_id, round(list_cosine_similarity(q.v, c.v), 6) AS embedding_score FROM q, c
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 6) DESC, c.vec_id) <= 20)"""
 
 
-def _neighbours(spark, folder):
+@query(f"WITH {_KNN} SELECT * FROM nn")
+def knn_cosine(spark, folder):
+    """The queries are every twentieth vector, searched in all."""
     v = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.neighbours(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 20)
+    return vectors.neighbours(v.where("id % 20 = 0"), v, 20)
 
 
-@query(f"WITH {_KNN} SELECT * FROM nn")
-def knn_cosine(spark, folder):
-    return _neighbours(spark, folder)
+_VECTORS_SQL = f"ev AS (SELECT {_ID} AS entity_id, (doc_id % 3 + 1)::INT AS source, lang AS country, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id)"
+_NEAR_SQL = f"""{_VECTORS_SQL}, nn AS (SELECT q.entity_id, c.entity_id AS candidate_id, round(list_cosine_similarity(q.v, c.v), 6) AS embedding_score FROM ev q JOIN ev c ON q.country = c.country AND q.source = 1 AND c.source <> 1
+  QUALIFY row_number() OVER (PARTITION BY q.entity_id ORDER BY round(list_cosine_similarity(q.v, c.v), 6) DESC, c.entity_id) <= 20)"""
 
 
-_KEYED = "kc AS (SELECT a.vec_id AS entity_id, b.vec_id AS candidate_id, 'name_token' AS match_keys, 1 AS n_keys FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 AND abs(a.vec_id - b.vec_id) <= 50)"
+@query(f"WITH {_NEAR_SQL} SELECT * FROM nn")
+def embedding_candidates(spark, folder):
+    return vectors.embedding_candidates(records(spark, folder), record_vectors(spark, folder), 20)
 
 
 @query(
-    f"WITH {_KNN}, {_KEYED} SELECT coalesce(kc.entity_id, nn.entity_id) AS entity_id, coalesce(kc.candidate_id, nn.candidate_id) AS candidate_id, "
-    "CASE WHEN kc.match_keys IS NULL THEN 'embedding' WHEN embedding_score IS NULL THEN match_keys ELSE match_keys || ',embedding' END AS match_keys, "
-    "(coalesce(n_keys, 0) + (embedding_score IS NOT NULL)::INT)::INT AS n_keys, embedding_score FROM kc FULL JOIN nn ON kc.entity_id = nn.entity_id AND kc.candidate_id = nn.candidate_id"
+    f"WITH {_pairs_sql(TIGHT)}, {_NEAR_SQL} SELECT coalesce(p.entity_id, nn.entity_id) AS entity_id, coalesce(p.candidate_id, nn.candidate_id) AS candidate_id, "
+    "CASE WHEN p.match_keys IS NULL THEN 'embedding' WHEN embedding_score IS NULL THEN match_keys ELSE match_keys || ',embedding' END AS match_keys, "
+    "(coalesce(n_keys, 0) + (embedding_score IS NOT NULL)::INT)::INT AS n_keys, embedding_score FROM p FULL JOIN nn ON p.entity_id = nn.entity_id AND p.candidate_id = nn.candidate_id"
 )
 def merge_embedding(spark, folder):
-    v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label")
-    a, b = v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "entity_id"), v.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "candidate_id")
-    keyed = a.join(b, "label").where("abs(entity_id - candidate_id) <= 50").select("entity_id", "candidate_id", F.lit("name_token").alias("match_keys"), F.lit(1).alias("n_keys"))
-    return vectors.merged(keyed, _neighbours(spark, folder))
+    return vectors.merged(_raw(spark, folder, TIGHT), embedding_candidates(spark, folder))
 
 
 # ---------------------------------------------------------------- metric
@@ -625,6 +626,12 @@ def learned_pre_ranker(spark, folder):
     return linkage.pre_rank_recall(records(spark, folder), truth(spark, folder), WIDE, SWEEP)
 
 
+@query()
+def pre_ranker_by_country(spark, folder):
+    """The same with a pre-ranker for each country, up to the best 150."""
+    return linkage.by_country(linkage.pre_rank_recall, records(spark, folder), truth(spark, folder), WIDE, (60, 100, 150))
+
+
 @query()
 def two_stage_light(spark, folder):
     """Threshold curve of a matcher behind a pre-ranker on cheap features."""

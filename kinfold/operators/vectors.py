@@ -16,20 +16,42 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.blocking import top_candidates
 
-BLOCK = 8192
-
-
-def _unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(length == 0, 1.0, length)  # a zero vector stays as it is
+BLOCK = 4096
+ROWS = 256  # queries multiplied at a time
+
+
+def _units(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the numbers of the rows with finite components only, and their vectors of length 1 (a zero vector stays as it is)."""
+    groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, v in enumerate(column.to_pylist()):
+        if v and None not in v and np.isfinite(x := np.array(v, np.float64)).all():
+            groups.setdefault(len(x), []).append((i, x))
+    out = {}
+    for dim, rows in groups.items():
+        x = np.stack([v for _, v in rows])
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        out[dim] = np.array([i for i, _ in rows]), x / np.where(length == 0, 1.0, length)
+    return out
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row; of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return np.divmod(np.arange(scores.size), scores.shape[1])
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    rows, cols = np.nonzero(scores >= least[:, None])  # ties at the border included
+    order = np.lexsort((cols, -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
 
 
 def neighbours(queries: DataFrame, corpus: DataFrame, k: int = 20, by: str | None = None, block: int = BLOCK) -> DataFrame:
     """entity_id, candidate_id, embedding_score: for each query the k corpus rows of highest cosine (rounded to 6 digits), ties by id.
 
     Both have columns id and embedding (and ``by``: only equal values meet). A k above the corpus gives all of it, an empty
-    corpus nothing; a row that is in both tables is its own first neighbour. Null vectors take no part.
+    corpus nothing; a row that is in both tables is its own first neighbour. Vectors that are null, empty or hold null or non-finite
+    components take no part, and only vectors of one length meet. This is the exact path: queries times corpus products.
     """
     part = F.col(by) if by else F.lit(0)
     side = lambda df: df.where("embedding IS NOT NULL").select("id", part.alias("part"), "embedding")
@@ -47,17 +69,19 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int = 20, by: str | Non
         empty = pa.table({"entity_id": pa.array([], kinds), "candidate_id": pa.array([], kinds), "embedding_score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        dim = len(left.column("embedding")[0].as_py())
-        x, y = _unit(left.column("embedding"), dim), _unit(right.column("embedding_c"), dim)
         right_id = right.column("id_c").combine_chunks()
-        order = right_id.to_numpy(zero_copy_only=False)
-        at = np.argsort(order, kind="stable")
-        y, right_id = y[at], right_id.take(pa.array(at))
-        scores = np.round(x @ y.T, 6)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(x)), top.shape[1])
-        cols = top.reshape(-1)
-        return pa.table({"entity_id": left.column("id").combine_chunks().take(pa.array(rows)), "candidate_id": right_id.take(pa.array(cols)), "embedding_score": pa.array(scores[rows, cols])})
+        at = np.argsort(right_id.to_numpy(zero_copy_only=False), kind="stable")
+        right = right.take(pa.array(at))
+        one, other = _units(left.column("embedding")), _units(right.column("embedding_c"))
+        parts = [empty]
+        for dim in sorted(set(one) & set(other)):
+            (i, x), (j, y) = one[dim], other[dim]
+            for s in range(0, len(i), ROWS):
+                scores = np.round(x[s : s + ROWS] @ y.T, 6)
+                rows, cols = _best(scores, k)
+                ids = left.column("id").combine_chunks().take(pa.array(i[s : s + ROWS][rows])), right.column("id_c").combine_chunks().take(pa.array(j[cols]))
+                parts.append(pa.table({"entity_id": ids[0], "candidate_id": ids[1], "embedding_score": pa.array(scores[rows, cols])}))
+        return pa.concat_tables(parts)
 
     found = q.groupBy("part", "a", "b").cogroup(c.groupBy("part_c", "a_c", "b_c")).applyInArrow(best, f"entity_id {kind}, candidate_id {kind}, embedding_score double")
     return top_candidates(found, k, F.desc("embedding_score"))

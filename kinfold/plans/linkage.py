@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import blocking, features, metric, outputs, pairs
 from kinfold.plans import diagnostics, models
+from kinfold.runtime import keep
+from kinfold.sources.tsv import write_csv
 
 
 @dataclass(frozen=True)
@@ -19,12 +21,14 @@ class Trained:
     threshold: float
     macro_f_beta: float
     curve: list[tuple[float, float]]
+    report: dict  # recall by country and of all, rows, entities, trees, importances
 
     def save(self, spark, path: str, cfg: blocking.Blocking) -> None:
         """The model, and beside it a JSON row with what else a run needs."""
         models.save(self.model, f"{path}/model")
         meta = {"threshold": self.threshold, "macro_f_beta": self.macro_f_beta, "curve": self.curve, "features": list(features.ALL), "blocking": asdict(cfg)}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        spark.createDataFrame([(json.dumps(meta | self.report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        write_csv(spark.createDataFrame(self.curve, "threshold double, macro_f_beta double").coalesce(1), f"{path}/threshold_curve", "overwrite")
 
 
 def load_meta(spark, path: str) -> dict:
@@ -32,48 +36,58 @@ def load_meta(spark, path: str) -> dict:
 
 
 def raw_candidates(records: DataFrame, cfg: blocking.Blocking, normalise: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Normalised records (kept in memory and on disk: blocking and features both need them) and capped candidates."""
-    norm = blocking.normalised(records, cfg.ngram, normalise).persist()
+    """Normalised records (kept as a table: blocking and features both need them) and capped candidates."""
+    norm = keep(blocking.normalised(records, cfg.ngram, normalise), "norm")
     return norm, blocking.top_candidates(blocking.candidates(norm, cfg), cfg.most_candidates)
 
 
 def train(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking = blocking.Blocking(), trees: int = 50, share: float = 0.15, seed: int = 42, normalise: bool = True) -> Trained:
     """Splits entities, blocks, labels, samples, fits, and chooses the threshold on the entities held out."""
     norm, found = raw_candidates(records, cfg, normalise)
-    parts = pairs.split(records.where("source = 1"), share, seed).select("entity_id", "split").persist()
-    labelled = pairs.labelled(found, truth).join(parts, "entity_id").persist()
+    parts = keep(pairs.split(records.where("source = 1"), share, seed), "split")
+    labelled = keep(pairs.labelled(found, truth).join(parts.select("entity_id", "split"), "entity_id"), "labels")
     sample = pairs.sampled(labelled.where("split = 'train'").drop("split"), seed=seed)
-    rows = features.features(sample, norm).persist()
+    rows = keep(features.features(sample, norm), "features")
     model = models.fit(rows, trees=trees, seed=seed)
     held = parts.where("split = 'val'").select("entity_id")
     scored = models.score(model, features.features(labelled.where("split = 'val'").drop("split"), norm)).select("entity_id", "candidate_id", "score")
     curve = metric.threshold_curve(held, truth.join(held, "entity_id", "left_semi"), scored).orderBy("threshold")
     points = [(r.threshold, r.macro_f_beta) for r in curve.collect()]  # nineteen
     best = max(points, key=lambda p: (p[1], -p[0]))
-    for df in (norm, labelled, parts, rows):
-        df.unpersist()
-    return Trained(model, best[0], best[1], points)
+    return Trained(model, best[0], best[1], points, _report(labelled, truth, parts, rows, model))
+
+
+def _report(labelled: DataFrame, truth: DataFrame, parts: DataFrame, rows: DataFrame, model: PipelineModel) -> dict:
+    """What a run is to be judged by: a row a country, and counts."""
+    true = truth.join(parts.select("entity_id", "country"), "entity_id").select("entity_id", "candidate_id", "country")
+    by_country = {r.country: {k: v for k, v in r.asDict().items() if k != "country"} for r in pairs.recall(labelled, true, "country").collect()}
+    sides = {r.split: r.n for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {
+        "recall_by_country": by_country, "recall": pairs.recall(labelled, true.drop("country")).first().asDict(), "train_rows": rows.count(),
+        "validation_rows": labelled.where("split = 'val'").count(), "train_entities": sides.get("train", 0), "validation_entities": sides.get("val", 0),
+        "trees": models.trees(model), "importances": models.importances(model),
+    }
 
 
 def predict(records: DataFrame, model: PipelineModel, threshold: float, cfg: blocking.Blocking = blocking.Blocking(), normalise: bool = True) -> tuple[DataFrame, DataFrame]:
     """Candidate lists and match lists of all records of source 1, checked."""
     norm, found = raw_candidates(records, cfg, normalise)
-    found = found.persist()
-    scored = models.score(model, features.features(found, norm)).select("entity_id", "candidate_id", "score").persist()
+    found = keep(found, "candidates")
+    scored = keep(models.score(model, features.features(found, norm)).select("entity_id", "candidate_id", "score"), "scores")
     return outputs.build(records.where("source = 1").select("entity_id"), found, scored, records, threshold)
 
 
-def two_stage(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking, keep: int = 60, light: bool = True, trees: int = 20, seed: int = 42, normalise: bool = True) -> DataFrame:
-    """A pre-ranker on cheap features (``light``) or all, the best ``keep`` candidates an entity, a matcher, and its threshold curve on held-out entities."""
-    norm = blocking.normalised(records, cfg.ngram, normalise).persist()
+def two_stage(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking, most: int = 60, light: bool = True, trees: int = 20, seed: int = 42, normalise: bool = True) -> DataFrame:
+    """A pre-ranker on cheap features (``light``) or all, the best ``most`` candidates an entity, a matcher, and its threshold curve on held-out entities."""
+    norm = keep(blocking.normalised(records, cfg.ngram, normalise), "norm")
     raw = pairs.labelled(blocking.candidates(norm, cfg), truth)
     parts = pairs.split(records.where("source = 1"), 0.15, seed).select("entity_id", "split")
-    raw = raw.join(parts, "entity_id").persist()
+    raw = keep(raw.join(parts, "entity_id"), "labels")
     columns = features.PRE_RANK if light else features.ALL
     train = lambda rows: pairs.sampled(rows.where("split = 'train'").drop("split"), seed=seed)
     first = models.fit(features.features(train(raw), norm, columns), columns, trees=trees, seed=seed)
     ranks = models.score(first, features.features(raw, norm, columns), columns, "pre_rank_score").select("entity_id", "candidate_id", "pre_rank_score")
-    best = reranked(raw.join(ranks, ["entity_id", "candidate_id"]), keep).persist()
+    best = keep(reranked(raw.join(ranks, ["entity_id", "candidate_id"]), most), "best")
     second = models.fit(features.features(train(best), norm), trees=trees, seed=seed)
     scored = models.score(second, features.features(best.where("split = 'val'").drop("split"), norm)).select("entity_id", "candidate_id", "score")
     held = parts.where("split = 'val'").select("entity_id")
@@ -82,9 +96,9 @@ def two_stage(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking, keep
 
 def pre_rank_recall(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking, caps: tuple[int, ...] = (60, 100, 150), trees: int = 20, seed: int = 42, normalise: bool = True) -> DataFrame:
     """cap, found, recall of held-out entities' candidates in the order of a pre-ranker learnt on the others; recall is of all their true pairs."""
-    norm = blocking.normalised(records, cfg.ngram, normalise).persist()
+    norm = keep(blocking.normalised(records, cfg.ngram, normalise), "norm")
     parts = pairs.split(records.where("source = 1"), 0.15, seed).select("entity_id", "split")
-    raw = pairs.labelled(blocking.candidates(norm, cfg), truth).join(parts, "entity_id").persist()
+    raw = keep(pairs.labelled(blocking.candidates(norm, cfg), truth).join(parts, "entity_id"), "labels")
     sample = pairs.sampled(raw.where("split = 'train'").drop("split"), seed=seed)
     model = models.fit(features.features(sample, norm, features.PRE_RANK), features.PRE_RANK, trees=trees, seed=seed)
     held = raw.where("split = 'val'").drop("split")
@@ -94,6 +108,19 @@ def pre_rank_recall(records: DataFrame, truth: DataFrame, cfg: blocking.Blocking
     return diagnostics.recall_at(ranked, own, caps, F.desc("pre_rank_score"), F.desc("n_keys"))
 
 
-def reranked(rows: DataFrame, keep: int) -> DataFrame:
+def by_country(plan, records: DataFrame, truth: DataFrame, *args, **more) -> DataFrame:
+    """A plan (two_stage or pre_rank_recall) with models of its own for each country, which it adds as a column. Countries are a short list."""
+    out = None
+    for country in sorted(r.country for r in records.select("country").where("country IS NOT NULL").distinct().collect()):
+        own = records.where(F.col("country") == country)
+        true = truth.join(own.select("entity_id"), "entity_id", "left_semi")
+        if true.isEmpty():  # nothing to learn from
+            continue
+        one = plan(own, true, *args, **more).withColumn("country", F.lit(country))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def reranked(rows: DataFrame, most: int) -> DataFrame:
     """The best candidates of each entity by pre_rank_score, then n_keys, then id; all columns stay."""
-    return blocking.top_candidates(rows, keep, F.desc("pre_rank_score"), F.desc("n_keys"))
+    return blocking.top_candidates(rows, most, F.desc("pre_rank_score"), F.desc("n_keys"))

@@ -21,9 +21,10 @@ def ready(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def fit(rows: DataFrame, columns: tuple[str, ...] = ALL, trees: int = 50, depth: int = 6, step: float = 0.05, seed: int = 42, stop_share: float = 0.1) -> PipelineModel:
     """A classifier of label; a hash-chosen share of the rows tells when more trees stop helping."""
     train = ready(rows, columns).withColumn("stop", uniform(seed, "entity_id", "candidate_id") < stop_share)
+    stops = not train.where("stop").isEmpty()  # few rows may have none
     model = GBTClassifier(
         labelCol="label", featuresCol="x", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.9",
-        minInstancesPerNode=30, validationIndicatorCol="stop" if stop_share else None, seed=seed,
+        minInstancesPerNode=30, seed=seed, **({"validationIndicatorCol": "stop"} if stops else {}),
     )
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="x"), model]).fit(train)
 
@@ -38,6 +39,11 @@ def importances(model: PipelineModel, columns: tuple[str, ...] = ALL) -> list[tu
     return sorted(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda p: (-p[1], p[0]))
 
 
+def trees(model: PipelineModel) -> int:
+    """How many trees the fit kept: growing stops when the rows set aside gain nothing."""
+    return model.stages[-1].getNumTrees
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"  # ASCII letters and everything beyond ASCII
 LONGEST_WORD = 20
-NAME_WORDS, TRUTH_WORDS = 5, 12
+NAME_WORDS, TRUTH_WORDS = 3, 12
 INDIC = "कमल"  # every seventh record's name has a word of another script
 
 

@@ -23,6 +23,11 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(sep="\t", header=True, emptyValue="", escape='"').csv(path)
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Results with a header, comma-separated."""
+    df.write.mode(mode).options(header=True, escape='"').csv(path)
+
+
 def to_parquet(spark: SparkSession, path: str, out: str, columns: tuple[str, ...] = RECORD) -> DataFrame:
     """Writes a file as Parquet once, with all columns, and reads that."""
     read_tsv(spark, path, columns).write.mode("overwrite").parquet(out)

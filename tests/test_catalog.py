@@ -45,7 +45,7 @@ def test_models_run_with_the_production_settings(spark, monkeypatch):
         monkeypatch.setattr(linkage, plan, held)
     for name in ("learned_pre_ranker", "two_stage_light", "two_stage"):
         catalog.QUERIES[name](spark, DATA)
-    assert [(a["cfg"], a["keep"], a["trees"], a["light"]) for a in seen["two_stage"]] == [(Blocking(), 60, 20, True), (Blocking(), 60, 20, False)]
+    assert [(a["cfg"], a["most"], a["trees"], a["light"]) for a in seen["two_stage"]] == [(Blocking(), 60, 20, True), (Blocking(), 60, 20, False)]
     assert [(a["cfg"], a["trees"]) for a in seen["pre_rank_recall"]] == [(Blocking(), 20)]
 
 
@@ -55,3 +55,13 @@ def test_weighted_rankings_see_all_candidates(spark, monkeypatch):
     monkeypatch.setattr(blocking, "candidates", lambda norm, cfg: taken.append(cfg) or real(norm, cfg))
     got = catalog.QUERIES["weighted_rankings"](spark, DATA)
     assert taken == [Blocking()] and got.select("ranking").distinct().count() == len(features.HAND_WEIGHTS)
+
+
+def test_learnt_models_reach_their_floors(spark):
+    """Floors of the learnt queries on the small table, whose true pairs share most of a name."""
+    at = {r.cap: r.recall for r in catalog.QUERIES["learned_pre_ranker"](spark, "/root/testdata/sf0.01").collect()}
+    assert at[10] >= 0.9
+    for name in ("two_stage_light", "two_stage"):
+        assert max(r.macro_f_beta for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()) >= 0.85, name
+    one = catalog.QUERIES["pre_ranker_by_country"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.country for r in one} >= {"en"} and all(r.recall is None or r.recall >= 0.8 for r in one if r.cap == 150)

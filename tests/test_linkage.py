@@ -17,6 +17,9 @@ def test_train_and_predict(spark, tmp_path):
     got.save(spark, f"{tmp_path}/run", cfg)
     meta = linkage.load_meta(spark, f"{tmp_path}/run")
     assert meta["threshold"] == got.threshold and meta["blocking"]["cap"] == 100
+    assert meta["train_rows"] > 0 and meta["trees"] == models.trees(got.model) and set(meta["recall_by_country"]) == {"de", "en", "es", "fr"}
+    assert meta["train_entities"] + meta["validation_entities"] == rows.where("source = 1").count() and 0 < meta["recall"]["pair_level_recall"] <= 1
+    assert spark.read.option("header", True).csv(f"{tmp_path}/run/threshold_curve").count() == 19
     model = models.load(f"{tmp_path}/run/model")
     assert len(models.importances(model)) == len(meta["features"])
     found, matched = linkage.predict(rows, model, got.threshold, cfg)
