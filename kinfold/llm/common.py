@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.runtime import keep, shared_folder  # noqa: F401
+
 U64 = np.uint64
 
 #: Bytes to bytes. LOWER_ALNUM lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -26,23 +25,6 @@ LOWER_ALNUM = bytes(
 # ---------------------------------------------------------------- tables between steps
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) one of this machine's."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "kinfold", uuid.uuid4().hex, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

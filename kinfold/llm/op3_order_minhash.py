@@ -251,10 +251,12 @@ def links_and_members(documents: DataFrame, width: int = WORDS, similarity: floa
     """
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
     sketched = keep(texts.mapInArrow(_sketch(width, tables, sample), "doc_id long, words string, n long, sketch array<long>"), "sketches")
-    first = sketched.where("n > 0").groupBy("words").agg(F.min("doc_id").alias("exact_id"))
-    member = sketched.join(first, "words", "left").select("doc_id", F.when(F.col("n") > 0, F.col("exact_id")).otherwise(F.col("doc_id")).alias("exact_id"), "n", "sketch")
-    member = keep(member, "members")
-    entries = member.where("n > 0 AND doc_id = exact_id").select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("tab", "sig"))
+    # Sums of a class first and written, its copies joined to it after: that join has a shuffle of its own, which adaptive execution can split.
+    first = sketched.where("n > 0").groupBy("words").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("f"))
+    first = keep(first.select("words", F.col("f.doc_id").alias("exact_id"), "f.n", "f.sketch"), "classes")
+    member = sketched.select("doc_id", "words").join(first.select("words", "exact_id"), "words", "left")
+    member = keep(member.select("doc_id", F.coalesce("exact_id", "doc_id").alias("exact_id")), "members")
+    entries = first.select(F.col("exact_id").alias("node"), "n", F.posexplode("sketch").alias("tab", "sig"))
     hubs = entries.groupBy("tab", "sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = keep(entries.select("tab", "sig", "node").join(hubs, ["tab", "sig"]), "buckets")
     central = sized.groupBy("node").agg(F.sum("size").alias("score"))  # members that share most signatures make the best hubs

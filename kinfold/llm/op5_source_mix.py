@@ -7,8 +7,9 @@ colours of an urn that a binary tree deals to the output shards: each node draws
 child (which makes the sources' counts multivariate hypergeometric) and leaves the rest to the right one. A source's shards then draw
 disjoint runs of its permuted blocks, and every shard is shuffled locally.
 
-DataFrame functions only. Documents are never sorted or windowed as a whole: the windows run over blocks (sources x BLOCKS rows)
-and over the one block of a source that is cut. A hot source costs as many rows there as any other.
+DataFrame functions only. Documents are never sorted or windowed as a whole: the windows run over blocks (sources times blocks, a power
+of two that follows the number of documents within bounds) and over the one block of a source that is cut, without its texts. A hot source
+costs no more rows there than any other. The urn's first level stands in one window: narrow rows, two for each block at most.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import keep
+from kinfold.llm.common import keep, partitions
 
-BLOCKS = 256
-LEVELS = 5  # 32 output shards
+BLOCKS, MOST_BLOCKS, BLOCK_DOCUMENTS = 256, 1 << 14, 4096  # blocks of a source: a power of two that follows the documents, so the cut one stays small
+LEVELS, MOST_LEVELS, SHARD_DOCUMENTS = 5, 14, 1 << 16  # output shards: 2 to the power of the levels, which follow the documents
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2
@@ -32,6 +33,17 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _power(documents: int, each: int, least: int, most: int) -> int:
+    """The least power of two, within bounds, of parts of ``each`` documents."""
+    return min(most, max(least, 1 << max(0, (max(1, documents) - 1) // each).bit_length()))
+
+
+def _sized(documents: DataFrame, options: dict) -> dict:
+    """The options, blocks and levels by the number of documents where they are not given."""
+    n = None if {"blocks", "levels"} <= set(options) else documents.count()
+    return {"blocks": n and _power(n, BLOCK_DOCUMENTS, BLOCKS, MOST_BLOCKS), "levels": n and _power(n, SHARD_DOCUMENTS, 1 << LEVELS, 1 << MOST_LEVELS).bit_length() - 1} | options
+
+
 def _source_key(source: Column) -> Column:
     """Equal for equal sources, null included."""
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), source))
@@ -101,25 +113,35 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     more than ``most`` copies; the taken words of a source are its target, rounded. A source without words has target 0. Repeated rows
     and rows with null ids are drawn like others, so the result depends on the rows alone, not on their order.
     """
-    blocks, seed = options.get("blocks", BLOCKS), options.get("seed", SEED)
+    options = _sized(documents, options)
+    blocks, seed = options["blocks"], options.get("seed", SEED)
     table = plan(documents, **options)
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     rows = rows.select("doc", size_of(F.col("doc.text")).alias("size"), _source_key(F.col("doc.source")).alias("key"), _block(F.col("doc.doc_id"), blocks, seed).alias("block"))
     rows = rows.join(table, ["key", "block"])
     uncut = rows.where("rest IS NULL")
-    turn = Window.partitionBy("key").orderBy(F.xxhash64("doc.doc_id", F.lit(seed + 100)), "doc.doc_id", "size", F.xxhash64("doc.text"))
-    before = F.coalesce(F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = rows.where("rest IS NOT NULL").withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before)))
-    rows = uncut.unionByName(cut)
+    # The cut block's order is found on hashes and sizes; the texts only meet what they give.
+    same = ["key", "id", "size", "text"]
+    cut = rows.where("rest IS NOT NULL").withColumns({"id": F.struct(F.xxhash64("doc.doc_id", F.lit(seed + 100)), "doc.doc_id"), "text": F.xxhash64("doc.text")})
+    narrow = keep(cut.groupBy(*same).agg(F.max("rest").alias("rest"), F.count(F.lit(1)).alias("equal")), "cut")
+    turn = Window.partitionBy("key").orderBy("id", "size", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("size") * F.col("equal")).over(turn), F.lit(0))
+    narrow = narrow.select(*[F.col(c).alias(f"n_{c}") for c in same], "equal", (F.col("rest") - before).alias("left"))
+    cut = cut.join(narrow, F.expr(" AND ".join(f"{c} <=> n_{c}" for c in same))).withColumn("rest", F.col("left"))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) - 1  # equal rows give one after another
+    cut = cut.where("equal = 1").unionByName(cut.where("equal > 1").withColumn("rest", F.col("left") - nth * F.col("size")))
+    cut = cut.withColumn("rest", F.greatest(F.lit(0), F.least("size", "rest")))
+    rows = uncut.unionByName(cut.select(uncut.columns))
     return rows.select("doc", "size", "source_size", "target", "whole", "rest", "rest_shard", (F.col("size") * F.size("whole") + F.coalesce("rest", F.lit(0))).alias("taken"))
 
 
-def shuffled(documents: DataFrame, shards: int = 1 << LEVELS, **options) -> DataFrame:
+def shuffled(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: documents' columns, a row for each copy taken, shard by shard and in a permuted order within each.
 
     A document taken in part keeps its leading words, joined by single spaces; one taken whole keeps its text as it is. Documents of
     which no word is taken are left out, those without words stay with their block.
     """
+    options = _sized(documents, options)
     seed = options.get("seed", SEED)
     rows = mixed(documents, **options)
     copies = F.transform("whole", lambda s: F.struct(s.alias("shard"), F.lit(None).cast("long").alias("words")))
@@ -130,5 +152,5 @@ def shuffled(documents: DataFrame, shards: int = 1 << LEVELS, **options) -> Data
     order = F.xxhash64("doc.doc_id", "nth", F.lit(seed + 200))
     spread = F.pmod(order, F.lit(8))  # a shard is written by several tasks
     rows = rows.select("copy", order.alias("order"), spread.alias("spread"), F.struct(*columns).alias("doc"))
-    rows = rows.repartition(F.col("copy.shard"), F.col("spread")).sortWithinPartitions("copy.shard", "order")
+    rows = rows.repartition(max(partitions(documents.sparkSession), 2 << options["levels"]), F.col("copy.shard"), F.col("spread")).sortWithinPartitions("copy.shard", "order")
     return rows.select(*[F.col(f"doc.`{c}`") for c in documents.columns])

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import hashes_of, packed, partitions, pieces, prime_from, rolled, unpacked, within, words_of
 
 WIDTH = 20
+GROUP_BYTES = 32 << 20  # of text that one group of documents has on average at most
+NULL_IDS = 1 << 40  # the largest ids stand for null ones
 PERIOD = 13
 COVER = (0, 1, 3, 9)  # every residue modulo 13 is a difference of two of these
 
@@ -86,15 +88,17 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
     the same document before. Words are runs of bytes other than white space of ASCII, unchanged. Null and empty texts have
     no words and keep an empty text; texts of under ``width`` words lose none. Rows that share a doc_id count as one
     document: equal rows don't remove each other, and a start that one of them loses the others lose too. Rows with a null
-    doc_id come after all others and count as one document as well. Two different windows are taken for equal only if 96 bits
+    doc_id come after all others, by a hash of their texts, so equal ones count as one document as well. Two different windows are taken for equal only if 96 bits
     of their hashes agree.
     """
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or width < period:
         raise ValueError("cover must be a difference cover of period, and width at least period")
     spark, core = documents.sparkSession, width - period + 1
-    n = prime_from(2 * partitions(spark))  # a chunk gives a row a bucket: few, larger rows
-    last = np.iinfo(np.int64).max
-    texts = documents.select(F.coalesce("doc_id", F.lit(last).cast("long")).alias("doc_id"), "text")
+    bytes_ = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = prime_from(max(2 * partitions(spark), bytes_ // GROUP_BYTES))  # a chunk gives a row a bucket: few, larger rows, but no group over the bytes
+    last = np.iinfo(np.int64).max - NULL_IDS
+    null_id = F.pmod(F.xxhash64("text"), F.lit(NULL_IDS)) + F.lit(last)
+    texts = documents.select(F.coalesce("doc_id", null_id).alias("doc_id"), "text")
     texts = texts.withColumn("grp", F.pmod("doc_id", F.lit(n).cast("long")))
     at = np.zeros(period, bool)
     at[list(cover)] = True
@@ -193,7 +197,7 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
                     kept = b" ".join(x for x, d in zip(w, dead.tolist(), strict=True) if not d)
                 else:
                     kept = b" ".join(w)
-                out["doc_id"].append(None if ids[i] == last else int(ids[i]))
+                out["doc_id"].append(None if ids[i] >= last else int(ids[i]))
                 out["n_words"].append(len(w))
                 out["n_removed"].append(gone)
                 out["kept_text"].append(kept.decode())

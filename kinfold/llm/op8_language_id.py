@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import U64, codes_of, keep, pieces, within, words_of
+from kinfold.llm.common import U64, codes_of, keep, partitions, pieces, within, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
@@ -28,7 +29,7 @@ ROUNDS = 3
 LONGEST = 16
 UNKNOWN = 1e-7
 REMEMBERED = 300_000
-MOST_BROADCAST = 10_000  # languages
+MOST_LANGUAGES = 500
 
 _BASE = U64(0x9E3779B97F4A7C15)
 
@@ -113,46 +114,93 @@ class Lattice:
         return np.log(alpha[n]) + log[n][:, None], found, alpha, log
 
 
-def by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[int, list[int]]]:
-    """Numbers of the words of each length, in lots."""
+def by_length(words: list[str], many: int = 4, most: int = 20_000) -> Iterator[tuple[int, list[int]]]:
+    """Numbers of the words of each length, in lots whose places times languages are bounded."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for n, own in sorted(groups.items()):
-        lot = max(1, most * 8 // n)
+        lot = max(1, most * 32 // (n * max(4, many)))
         for at in range(0, len(own), lot):
             yield n, own[at : at + lot]
 
 
-def fit(lattice: Lattice, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities (pieces and a row of zeros, by language) from words and how often each language has them."""
+def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How often each piece (and, last, no piece) stands in words of which each language has so many, over all segmentations by p."""
     many, size = counts.shape[1], lattice.size
+    out = np.zeros((size + 1) * many)
+    for n, own in by_length(words, many):
+        weight = counts[own]
+        total, found, alpha, log = lattice.forward([words[i] for i in own], n, p)
+        beta, tail = np.zeros((n + 1, len(own), many)), np.zeros((n + 1, len(own)))
+        beta[n] = 1.0
+        for i in range(n - 1, -1, -1):
+            s = np.zeros((len(own), many))
+            for k, ids in found.items():
+                if i + k <= n:
+                    q = p[ids[:, i]] + UNKNOWN if k == 1 else p[ids[:, i]]
+                    part = q * beta[i + k] * np.exp(tail[i + k] - tail[i + 1])[:, None]
+                    s += part
+                    share = alpha[i] * part * np.exp(log[i][:, None] + tail[i + 1][:, None] - total)
+                    at = ids[:, i][:, None] * many + np.arange(many)
+                    out += np.bincount(at.reshape(-1), weights=(share * weight).reshape(-1), minlength=len(out))
+            top = np.maximum(s.max(axis=1), 1e-300)
+            beta[i], tail[i] = s / top[:, None], tail[i + 1] + np.log(top)
+    return out.reshape(size + 1, many)
+
+
+def even(size: int, many: int) -> np.ndarray:
+    """The probabilities a fit begins with."""
     p = np.full((size + 1, many), 1.0 / max(size, 1))
     p[size] = 0.0
+    return p
+
+
+def likeliest(counted: np.ndarray) -> np.ndarray:
+    """Probabilities from expected counts, drawn towards those of all languages together."""
+    c = counted.copy()
+    c[-1] = 0.0
+    pooled = c.sum(axis=1, keepdims=True) + 0.01
+    pooled[-1] = 0.0
+    return (c + 20.0 * pooled / pooled.sum()) / (c.sum(axis=0, keepdims=True) + 20.0)
+
+
+def fit(words: DataFrame, known: list[str], many: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities (pieces and a row of zeros, by language) from rows word, langs (numbers), n (how often each has it).
+
+    Each round's expectation runs where the words are; pieces x languages sums come together in two steps, a slice of pieces a row.
+    """
+    spark, size = words.sparkSession, len(known)
+    p, step = even(size, many), max(1, 32_768 // many)
+    parts = max(1, int(words.rdd.getNumPartitions() ** 0.5))
+    kinds = "part int, at int, y binary"
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<f8") for x in table.column("y").to_pylist())
+        return pa.table({"part": pa.array([0], pa.int32()), "at": table.column("at").slice(0, 1).cast(pa.int32()), "y": pa.array([total.tobytes()], pa.binary())})
+
     for _ in range(rounds):
-        expected = np.zeros((size + 1) * many)
-        for n, own in by_length(words):
-            weight = counts[own]
-            total, found, alpha, log = lattice.forward([words[i] for i in own], n, p)
-            beta, tail = np.zeros((n + 1, len(own), many)), np.zeros((n + 1, len(own)))
-            beta[n] = 1.0
-            for i in range(n - 1, -1, -1):
-                s = np.zeros((len(own), many))
-                for k, ids in found.items():
-                    if i + k <= n:
-                        q = p[ids[:, i]] + UNKNOWN if k == 1 else p[ids[:, i]]
-                        part = q * beta[i + k] * np.exp(tail[i + k] - tail[i + 1])[:, None]
-                        s += part
-                        share = alpha[i] * part * np.exp(log[i][:, None] + tail[i + 1][:, None] - total)
-                        at = ids[:, i][:, None] * many + np.arange(many)
-                        expected += np.bincount(at.reshape(-1), weights=(share * weight).reshape(-1), minlength=len(expected))
-                top = np.maximum(s.max(axis=1), 1e-300)
-                beta[i], tail[i] = s / top[:, None], tail[i + 1] + np.log(top)
-        c = expected.reshape(size + 1, many)
-        c[size] = 0.0
-        pooled = c.sum(axis=1, keepdims=True) + 0.01
-        pooled[size] = 0.0
-        p = (c + 20.0 * pooled / pooled.sum()) / (c.sum(axis=0, keepdims=True) + 20.0)
+        shared = spark.sparkContext.broadcast((known, p))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, p = shared.value
+            lattice, total = Lattice(known), np.zeros((size + 1, many))
+            for batch in batches:
+                own = batch.column("word").to_pylist()
+                counts = np.zeros((len(own), many))
+                for i, (langs, n) in enumerate(zip(batch.column("langs").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                    counts[i, langs] = n
+                total += expected(lattice, own, counts, p)
+            at = range(0, size + 1, step)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId() % parts] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([total[i : i + step].tobytes() for i in at], pa.binary())], names=["part", "at", "y"]
+            )
+
+        sums = words.mapInArrow(count, kinds).groupBy("part", "at").applyInArrow(add, kinds).groupBy("at").applyInArrow(add, kinds)
+        total = np.zeros((size + 1, many))
+        for r in sums.collect():
+            total[r.at : r.at + step] = np.frombuffer(r.y, "<f8").reshape(-1, many)
+        p = likeliest(total)
     return p
 
 
@@ -164,18 +212,21 @@ def identified(documents: DataFrame, path: str = VOCABULARY, fit_documents: int
     """doc_id, held_out, lang_pred, score of every row (columns doc_id, text, lang; others are ignored).
 
     Learns from about ``fit_documents`` texts a language (their whole words), of rows whose lang is not null and whose crc32(doc_id) mod
-    ``folds`` is not ``held_out``. lang_pred is the likeliest language; score its posterior probability with equal priors. Texts that are null or
+    ``folds`` is not ``held_out``; the expectation runs in the cluster, so neither long texts nor many words of the sample meet in one place.
+    Over MOST_LANGUAGES languages raise an error: the model is pieces x languages numbers. lang_pred is the likeliest language; score its posterior probability with equal priors. Texts that are null or
     have no letter are ``und`` with score 0, and so is every text when nothing could be learnt. Ties go to the first
     language by code point. Rows with a null doc_id are scored and not learnt from; repeated rows are rows like others.
     """
     spark = documents.sparkSession
     held = F.coalesce(_crc(folds) == held_out, F.lit(False)).alias("held_out")
     labelled = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (_crc(folds) != held_out)).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count()
-    share = keep(sizes.select("lang", (F.lit(float(fit_documents)) / F.col("count")).alias("share")), "shares")
-    if share.count() <= MOST_BROADCAST:  # else a join by language, which shuffles the labelled texts
-        share = F.broadcast(share)
-    sample = labelled.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    share = F.lit(0.0)
+    for r in sizes:
+        share = F.when(F.col("lang") == r.lang, F.lit(fit_documents / r["count"])).otherwise(share)
+    sample = labelled.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 11) < share * float(1 << 53))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -189,17 +240,17 @@ def identified(documents: DataFrame, path: str = VOCABULARY, fit_documents: int
             rows = [(names[v // len(distinct)], run, c) for v, c in zip(value.tolist(), count.tolist(), strict=True) for run in letters(distinct[v % len(distinct)])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    got = sample.select("text", "lang").mapInArrow(spread, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
     known = vocabulary(path)
+    rows = keep(sample.select("text", "lang").mapInArrow(spread, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")), "counts")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # of those counted above
+    if langs:
+        number = {x: i for i, x in enumerate(langs)}
+        rows = rows.withColumn("lang", F.create_map(*[F.lit(v) for pair in number.items() for v in pair])[F.col("lang")])
+        rows = rows.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("r")).select("word", F.col("r.lang").alias("langs"), F.col("r.n").alias("n"))
+        p = fit(keep(rows.repartition(partitions(spark), "word"), "words"), known, len(langs))
+    else:
+        p = np.zeros((len(known) + 1, 1))
     lattice = Lattice(known)
-    number: dict[str, int] = {}
-    rows = np.array([number.setdefault(w, len(number)) for w in got.column("word").to_pylist()], np.int64)
-    counts = np.zeros((len(number), max(1, len(langs))))
-    if len(rows):
-        order = {x: i for i, x in enumerate(langs)}
-        np.add.at(counts, (rows, [order[x] for x in got.column("lang").to_pylist()]), got.column("n").to_numpy())
-    p = fit(lattice, list(number), counts) if langs else np.zeros((len(known) + 1, 1))
     shared = spark.sparkContext.broadcast((lattice, p, langs))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +266,7 @@ def identified(documents: DataFrame, path: str = VOCABULARY, fit_documents: int
             runs = {w: letters(w) for w in new}
             plain = sorted({r for own in runs.values() for r in own})
             value = np.zeros((len(plain), many))
-            for n, own in by_length(plain):
+            for n, own in by_length(plain, many):
                 value[own] = lattice.forward([plain[i] for i in own], n, p)[0] if langs else 0.0
             at = {r: i for i, r in enumerate(plain)}
             for w, own in runs.items():

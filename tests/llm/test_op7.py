@@ -67,3 +67,17 @@ def test_any_partitioning_gives_the_same(spark):
     a = removed(df).toPandas().sort_values("doc_id", ignore_index=True)
     b = removed(df.repartition(7)).toPandas().sort_values("doc_id", ignore_index=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_rows_with_null_ids_are_documents_of_their_own(spark):
+    """Distinct texts without an id stand after all others, in some order; equal ones are one document."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, f"{one} x {two}"), (None, f"{two} y {one}"), (None, "c " * 5), (7, "d " * 5)]
+    got = [(r.doc_id, r.n_removed) for r in removed(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(n for d, n in got if d is None) == [0, 0, 80] and (7, 0) in got
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words[1000:1100])), (2, " ".join(words)), (3, " ".join(words[200_000:200_030]) + " tail")]
+    assert {r.doc_id: r.n_removed for r in removed(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: 0, 2: 100, 3: 30}

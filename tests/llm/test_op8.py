@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from kinfold.llm.op8_language_id import UNKNOWN, Lattice, identified
+from kinfold.llm.op8_language_id import UNKNOWN, Lattice, even, expected, fit, identified, likeliest
 
 DATA = "/root/testdata/sf0.01"
 
@@ -26,6 +26,50 @@ def test_forward_sums_all_segmentations():
             assert np.allclose(got[row], [np.log(all_cuts(w, table, k)) for k in range(3)])
 
 
+def cuts(word):
+    """All segmentations of a word."""
+    return [[word[:n], *rest] for n in range(1, len(word) + 1) for rest in cuts(word[n:])] if word else [[]]
+
+
+def test_expectation_against_all_segmentations():
+    known = sorted({"a", "b", "ab", "aba", "ba", "bab", "c"})
+    rng = np.random.default_rng(3)
+    p = np.vstack([rng.random((len(known), 2)), np.zeros((1, 2))])
+    words, counts = ["abab", "ba", "abcab", "qa", "babab", "c"], rng.integers(0, 5, (6, 2)).astype(float)
+    want = np.zeros((len(known) + 1, 2))
+    for w, own in zip(words, counts, strict=True):
+        for k in range(2):
+            value = lambda piece, k=k: (p[known.index(piece), k] if piece in known else 0.0) + (UNKNOWN if len(piece) == 1 else 0.0)
+            odds = [(np.prod([value(x) for x in cut]), cut) for cut in cuts(w)]
+            for odd, cut in odds:
+                for x in cut:
+                    if odd > 0:
+                        want[known.index(x) if x in known else len(known), k] += own[k] * odd / sum(o for o, _ in odds)
+    assert np.allclose(expected(Lattice(known), words, counts, p), want)
+
+
+def test_fit_in_the_cluster_is_that_of_one_place(spark):
+    known = sorted({"a", "b", "ab", "ba", "c", "abc"})
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(60)]
+    words = sorted(set(words))
+    counts = rng.integers(0, 4, (len(words), 3)).astype(float)
+    rows = [(w, [k for k in range(3) if c[k]], [int(x) for x in c if x]) for w, c in zip(words, counts, strict=True)]
+    df = spark.createDataFrame(rows, "word string, langs array<int>, n array<long>").repartition(5)
+    p = even(len(known), 3)
+    for _ in range(3):
+        p = likeliest(expected(Lattice(known), words, counts, p))
+    assert np.allclose(fit(df, known, 3, 3), p) and np.allclose(p[:-1].sum(axis=0), 1) and (p[-1] == 0).all()
+
+
+def test_many_languages_and_one_huge_text(spark):
+    rng = np.random.default_rng(5)
+    rows = [(40 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}ora{chr(97 + j % 7)}" for j in rng.integers(0, 9, 30)), f"l{k:03}") for k in range(60) for i in range(4)]
+    rows.append((10**6, "zzora zzela " * 100_000, "huge"))
+    out = {r.doc_id: r.lang_pred for r in identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([out[d] == lang for d, _, lang in rows]) > 0.9
+
+
 def test_long_words_neither_vanish_nor_overflow():
     got = Lattice(["a", "aa"]).forward(["a" * 5000, "q" * 5000], 5000, np.array([[0.5], [0.1], [0.0]]))[0]
     assert np.isfinite(got).all() and got[0] > got[1]
