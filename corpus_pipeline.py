@@ -22,24 +22,36 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality discriminant accepts."""
+    """Rows that the quality discriminant accepts, whole and as they are.
+
+    Null and empty texts have statistics and so a score; a score at the threshold is accepted; repeated rows share their score. Without usable
+    labels every score is 0.5 and all rows stay. Rows with a null doc_id are judged and not learnt from. An empty table stays empty, other columns
+    stay whatever their names.
+    """
     return op4_quality_qda.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, that of the smallest doc_id; rows without a doc_id are in no class and stay.
 
-    Rows are compared by their texts, so different texts under one doc_id all stay.
+    Rows are compared by their texts, so different texts under one doc_id all stay. Of rows that share the smallest doc_id of a class the first
+    by a hash of text, source and lang stays, then the first in the table, so reruns over the same files agree. Null, empty and wordless texts are in no class
+    but their own and stay. An empty table stays empty, other columns stay whatever their names.
     """
     rows, key = _rows(docs.where("doc_id IS NOT NULL"))
     found = op3_order_minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "class_id")
-    first = found.join(rows.select(key, "doc_id"), key).groupBy("class_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    named = rows.select(key, "doc_id", F.xxhash64("text", "source", "lang").alias("kind"))
+    first = found.join(named, key).groupBy("class_id").agg(F.min(F.struct("doc_id", "kind", key)).alias("first"))
     stay = rows.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_semi")
     return stay.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item stands, whatever their doc_id."""
+    """Rows in which no benchmark item stands, whatever their doc_id.
+
+    Null and empty texts hold no item and stay; repeated rows go or stay together; rows with a null doc_id are judged by their own text. An empty
+    table or benchmark takes nothing out. Other columns stay whatever their names.
+    """
     rows, key = _rows(docs)
     found = op2_latent_decontam.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = keep(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
@@ -47,12 +59,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights: a row for each copy taken, in shuffled shards."""
+    """The sources mixed to their target weights: a row for each copy taken, in shuffled shards.
+
+    A null source is a source, the last; rows without words stay with their block; repeated rows and null ids are drawn like others. The
+    document that a target cuts keeps its leading words. Reruns agree; an empty table stays empty; other columns stay whatever their names.
+    """
     return op5_source_mix.shuffled(docs)
 
 
 def packed_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids.
+
+    Null and empty texts give no tokens; overlong ones are split without loss; repeated rows are packed as often as they occur. Which texts share a row
+    follows the files of docs; an empty table gives no rows, other columns are ignored.
+    """
     return op1_token_packing.packed(docs)
 
 
