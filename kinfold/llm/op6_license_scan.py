@@ -36,8 +36,48 @@ class Template:
 #: Phrases that name a licence by themselves.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Openings of public licences and usual notices, with the phrases that must stand in them.
+#: Paragraphs of public licences as their texts have them.
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software."""
+MIT_WARRANTY = """The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of
+merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or
+other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in
+the software."""
+BSD_CONDITIONS = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+other materials provided with the distribution."""
+BSD_WARRANTY = """In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential
+damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused
+and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this
+software, even if advised of the possibility of such damage."""
+APACHE_WARRANTY = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+the License."""
+APACHE_GRANT = """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge,
+royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work
+and such Derivative Works in Source or Object form."""
+GPL_WARRANTY = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+GPL_PREAMBLE = """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other
+practical works are designed to take away your freedom to share and change the works."""
+ISC_WARRANTY = """The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever
+resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use
+or performance of this software."""
+
+#: Openings of public licences, usual notices and the paragraphs above, with the phrases that must stand in them.
 TEMPLATES = (
+    Template("mit", MIT_GRANT, ("permission is hereby granted", "without restriction")),
+    Template("mit", MIT_WARRANTY, ("without warranty of any kind", "authors or copyright holders")),
+    Template("bsd", BSD_CONDITIONS, ("redistributions of source code", "redistributions in binary form")),
+    Template("bsd", BSD_WARRANTY, ("procurement of substitute goods", "theory of liability")),
+    Template("apache", APACHE_WARRANTY, ("applicable law", "permissions and limitations under the license")),
+    Template("apache", APACHE_GRANT, ("each contributor hereby grants", "derivative works")),
+    Template("gpl", GPL_WARRANTY, ("without any warranty", "gnu general public license")),
+    Template("gpl", GPL_PREAMBLE, ("free copyleft license",)),
+    Template("isc", ISC_WARRANTY, ("author disclaims all warranties", "tortious action")),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
     Template("mit", "Released under the MIT License", ("mit license",)),
     Template("apache", "Licensed under the Apache License, Version 2.0", ("apache license", "version 2 0")),

@@ -105,3 +105,9 @@ def test_empty_table_and_clashing_columns(spark):
     assert packed(df).collect() == []
     df = spark.createDataFrame([(1, "x")], SCHEMA).withColumn("ids", F.lit("q")).withColumn("pack_id", F.lit(None))
     assert packed(df).collect()[0].doc_ids == [1]
+
+
+def test_a_very_long_text(spark):
+    text = "word and another one, " * 20_000
+    got = read(packed(spark.createDataFrame([(1, text), (2, "short")], SCHEMA)).collect())
+    assert [i for _, p in got[1] for i in p] == encoded(text)[1] and got[2] == [(0, encoded("short")[1])]

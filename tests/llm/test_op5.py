@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from kinfold.llm.op5_source_mix import mixed, plan, shuffled
+from kinfold.llm.op5_source_mix import _power, mixed, plan, shuffled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,3 +85,17 @@ def test_empty_table_and_clashing_columns(spark):
         df = df.withColumn(c, F.lit("x"))
     assert [r.taken for r in mixed(df).collect()] == [3]
     assert shuffled(df).columns == df.columns
+
+
+def test_equal_rows_and_a_very_long_text_in_a_cut_block(spark):
+    rows = [(1, "w " * 7, "a")] * 40 + [(2, "x " * 50_000, "b")] + [(3 + i, "y " * 3, "b") for i in range(20)]
+    for blocks in (1, 4):  # one block is cut for sure
+        out = mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), blocks=blocks, levels=2).collect()
+        for source in "ab":
+            own = [r for r in out if r.doc.source == source]
+            assert sum(r.taken for r in own) == round(own[0].target) and all(0 <= r.taken <= 2 * r.size for r in own)
+
+
+def test_blocks_and_shards_follow_the_documents():
+    assert [_power(n, 4096, 256, 1 << 14) for n in (0, 10**6, 10**7, 10**10)] == [256, 256, 4096, 1 << 14]
+    assert [_power(n, 1 << 16, 32, 1 << 14) for n in (1, 1 << 21, (1 << 21) + 1, 10**9)] == [32, 32, 64, 1 << 14]

@@ -1,8 +1,9 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from kinfold.llm.op6_license_scan import BASE, TEMPLATES, scanned
+from kinfold.llm.op6_license_scan import BASE, BSD_CONDITIONS, MIT_GRANT, TEMPLATES, Index, scanned, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -59,3 +60,23 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(None, "mit license"), (None, "mit license")], SCHEMA).withColumn("i", F.lit(1)).withColumn("n", F.lit("x"))
     assert [r.base_labels for r in scanned(df).collect()] == ["mit", "mit"]
+
+
+def test_whole_paragraphs_and_edits(spark):
+    rows = [(k, f"Copyright 2020 A. Holder. {t.text.upper()} int main() {{ }}") for k, t in enumerate(TEMPLATES)]
+    rows.append((100, BSD_CONDITIONS.replace("binary", "object")))  # a key phrase is broken
+    rows.append((101, MIT_GRANT.replace("sublicense", "relicense")))  # a word is not
+    got = {r.doc_id: r for r in scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(TEMPLATES):
+        assert t.label in got[k].labels.split(",") and got[k].score == 1.0
+    assert got[100].labels == "" and got[101].labels == "mit" and got[101].score > 0.9
+
+
+def test_the_index_holds_the_rarest_words():
+    index = Index(TEMPLATES, BASE)
+    with_word = np.full(len(index.vocabulary), 50.0)
+    rare = words("merge publish sublicense furnished portions substantial")
+    with_word[[index.code[w] for w in rare]] = 1.0
+    index.weigh(100, with_word, 6)
+    k = next(i for i, t in enumerate(TEMPLATES) if t.text == MIT_GRANT)
+    assert {index.vocabulary[index.bodies[k][q]] for q in index.rare[k]} == set(rare)
