@@ -7,8 +7,8 @@ all passages, and there is no other way to become one. A candidate counts if the
 whole item is long enough (so edits and paraphrases in order are found), the item's rarer words stand in it too, and so does enough
 of its answer, its last words.
 
-Plan. The text is read once: only a 32-bit hash of each word is kept (in the shared folder), and the passes over them (document
-frequencies, SVD, search) shuffle nothing but sums. The SVD takes one pass: each task adds up A^T (A Omega) over its passages, a
+Plan. The text is read once: only two bytes a word are kept (in the shared folder), the word's feature, a hash, if the benchmark has it;
+two words count as equal if their features are. The passes over them (document frequencies, SVD, search) shuffle nothing but sums. The SVD takes one pass: each task adds up A^T (A Omega) over its passages, a
 matrix of FEATURES hashed words at most by rank, and two levels of sums add these. Frequencies, weights and space are those of the
 whole benchmark; only the search takes it in slices of about SLICE_WORDS words, a pass each. So nothing that is broadcast or collected
 grows with documents or benchmark, and the slices change no row. The search costs windows times passages, as a matrix product.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import LOWER_ALNUM, U64, hashes_of, keep, pieces, within, words_of
 
 BLOCK = 32  # words; a window is two blocks, and so holds every run of BLOCK words somewhere
-FEATURES = 1 << 16  # words are columns of A by a hash
+FEATURES = (1 << 16) - 1  # words are columns of A by a hash; the number itself stands for words the benchmark has not
 RANK = 128  # at least, and an eighth of the benchmark's passages,
 MOST_RANK = 512  # at most
 OVERSAMPLE = 16
@@ -56,12 +56,12 @@ SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_sha
 class Space:
     """The latent space of the whole benchmark."""
 
-    column: np.ndarray  # of each feature; -1: not of the benchmark
+    column: np.ndarray  # of each feature; -1: not of the benchmark (so that of FEATURES itself)
     weight: np.ndarray  # of each column; 0: no term
     vectors: np.ndarray  # columns by rank, weights included, scaled to equal spread in every direction
 
     def columns(self, codes: np.ndarray) -> np.ndarray:
-        return self.column[codes >> 16]
+        return self.column[codes]
 
     def terms(self, codes: np.ndarray) -> np.ndarray:
         """Whether each word is a term."""
@@ -90,7 +90,7 @@ def passages_of(body: np.ndarray) -> list[np.ndarray]:
 
 
 def items_of(rows: list[tuple[int, bytes]], space: Space, cosine: float) -> Items:
-    bodies = [np.frombuffer(c, "<u4") for _, c in rows]
+    bodies = [np.frombuffer(c, "<u2") for _, c in rows]
     owner, latent, least = [], [], []
     for i, body in enumerate(bodies):
         for own in passages_of(body):
@@ -131,8 +131,8 @@ def _sums(table: np.ndarray, index: np.ndarray, rows: np.ndarray, n: int, scale:
 def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the words of each text, and where each text's begin."""
     column = batch.column("codes")
-    size = pc.binary_length(column).to_numpy() // 4
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4"), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    size = pc.binary_length(column).to_numpy() // 2
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2"), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
 def _blocks(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def _search(space, items, lcs_share: float, answer_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = space.value, items.value
         step = max(64, 8_000_000 // len(own.owner))  # windows of one product
-        for piece in pieces(batches, "codes", 2_000_000):
+        for piece in pieces(batches, "codes", 1_000_000):
             codes, starts = _coded(piece)
             block, begin = _blocks(starts)
             column = at.columns(codes)
@@ -225,19 +225,26 @@ def _search(space, items, lcs_share: float, answer_share: float):
     return run
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text"):
-        flat, starts = words_of(piece.column("text"), LOWER_ALNUM)
-        codes = (hashes_of(flat) >> U64(32)).astype("<u4")
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["doc_id", "codes"])
+def _codes(used: np.ndarray | None = None):
+    """Features of the words of each text; of those that are not used FEATURES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            flat, starts = words_of(piece.column("text"), LOWER_ALNUM)
+            codes = (hashes_of(flat) % U64(FEATURES)).astype("<u2")
+            if used is not None:
+                codes = np.where(used[codes], codes, FEATURES).astype("<u2")
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["doc_id", "codes"])
+
+    return run
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of the benchmark's words, and under -1 its number of passages."""
     used, passages = np.zeros(FEATURES, bool), 0
-    for piece in pieces(batches, "codes", 4_000_000):
+    for piece in pieces(batches, "codes", 2_000_000):
         codes, starts = _coded(piece)
-        used[codes >> 16] = True
+        used[codes] = True
         passages += sum(max(1, -(-int(n) // BLOCK)) for n in np.diff(starts))
     at = np.flatnonzero(used)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(np.ones(len(at), np.int64), passages))], names=["i", "n"])
@@ -253,10 +260,10 @@ def _frequencies(coded: DataFrame, column: np.ndarray, columns: int) -> tuple[np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(columns + 1, np.int64)
-        for piece in pieces(batches, "codes", 4_000_000):
+        for piece in pieces(batches, "codes", 2_000_000):
             codes, starts = _coded(piece)
             block, begin = _blocks(starts)
-            at = column[codes >> 16]
+            at = column[codes]
             known = np.flatnonzero(at >= 0)
             cell = np.sort(block[known] * np.int64(columns) + at[known])
             total[:columns] += np.bincount(cell[np.concatenate([[True], cell[1:] != cell[:-1]])] % columns if len(cell) else cell, minlength=columns)
@@ -272,11 +279,11 @@ def _rarest(coded: DataFrame, column: np.ndarray, with_word: np.ndarray) -> np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term = np.zeros(len(with_word), bool)
-        for piece in pieces(batches, "codes", 4_000_000):
+        for piece in pieces(batches, "codes", 2_000_000):
             codes, starts = _coded(piece)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 for own in passages_of(codes[a:b]):
-                    distinct = np.unique(column[own >> 16])
+                    distinct = np.unique(column[own])
                     term[distinct[np.argsort(with_word[distinct], kind="stable")[:LEAST_TERMS]]] = True
         at = np.flatnonzero(term)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.ones(len(at), np.int64))], names=["i", "n"])
@@ -297,10 +304,10 @@ def _sketch(coded: DataFrame, column: np.ndarray, weight: np.ndarray, rank: int)
         y = np.zeros((columns, width), np.float32)
         scaled = omega_of(columns, rank) * weight[:, None]
         passages = 0
-        for piece in pieces(batches, "codes", 2_000_000):
+        for piece in pieces(batches, "codes", 1_000_000):
             codes, starts = _coded(piece)
             block, begin = _blocks(starts)
-            at = column[codes >> 16]
+            at = column[codes]
             term = np.flatnonzero(at >= 0)
             term = term[weight[at[term]] > 0]
             of, word = block[term], at[term]
@@ -329,14 +336,10 @@ def _sketch(coded: DataFrame, column: np.ndarray, weight: np.ndarray, rank: int)
     return y / max(passages, 1.0)
 
 
-def latent_space(coded: DataFrame, bench: DataFrame, rank: int, most_common: float) -> Space | None:
-    """The space of all passages of documents and benchmark, both weighing the same; None if the benchmark has no words."""
-    used = _summed(bench.mapInArrow(_features, "i long, n long"))
-    passages = used.pop(-1, 0)
-    if not used:
-        return None
-    column = np.full(FEATURES, -1, np.int32)
-    column[sorted(used)] = np.arange(len(used))
+def latent_space(coded: DataFrame, bench: DataFrame, used: list[int], passages: int, rank: int, most_common: float) -> Space:
+    """The space of all passages of documents and benchmark (of the features and passages given), both weighing the same."""
+    column = np.full(FEATURES + 1, -1, np.int32)
+    column[used] = np.arange(len(used))
     with_word, blocks = _frequencies(coded, column, len(used))
     term = with_word <= max(most_common * blocks, LEAST_PASSAGES)
     term[_rarest(bench, column, with_word)] = True
@@ -350,7 +353,7 @@ def latent_space(coded: DataFrame, bench: DataFrame, rank: int, most_common: flo
 
 def _slices(bench: DataFrame, slice_words: int) -> list[list[tuple[int, bytes]]] | Iterator[list[tuple[int, bytes]]]:
     """The benchmark's texts with words, a slice at a time: at most twice slice_words words, or one text."""
-    sized = bench.select(F.col("doc_id").alias("key"), "codes", (F.length("codes") / 4).cast("long").alias("n")).where("n > 0")
+    sized = bench.select(F.col("doc_id").alias("key"), "codes", (F.length("codes") / 2).cast("long").alias("n")).where("n > 0")
     many = max(1, math.ceil((sized.agg(F.sum("n").alias("n")).first().n or 0) / slice_words))
     while True:
         part = F.pmod(F.xxhash64("key"), F.lit(many))
@@ -376,11 +379,15 @@ def contaminated(
     spark = documents.sparkSession
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     distinct = keep(texts.select("text").distinct().withColumn("doc_id", F.monotonically_increasing_id()), "texts")
-    bench = keep(distinct.mapInArrow(_codes, "doc_id long, codes binary"), "items")
-    coded = keep(documents.select("doc_id", "text").mapInArrow(_codes, "doc_id long, codes binary"), "codes")
-    space = latent_space(coded, bench, rank, most_common)
-    if space is None:
+    bench = keep(distinct.mapInArrow(_codes(), "doc_id long, codes binary"), "items")
+    used = _summed(bench.mapInArrow(_features, "i long, n long"))
+    passages = used.pop(-1, 0)
+    if not used:
         return spark.createDataFrame([], SCHEMA)
+    mask = np.zeros(FEATURES + 1, bool)
+    mask[list(used)] = True
+    coded = keep(documents.select("doc_id", "text").mapInArrow(_codes(mask), "doc_id long, codes binary"), "codes")
+    space = latent_space(coded, bench, sorted(used), passages, rank, most_common)
     shared = spark.sparkContext.broadcast(space)
     found = None
     for rows in _slices(bench, slice_words):
