@@ -72,12 +72,18 @@ def sampled(labels: DataFrame, per_positive: int = 6, least: int = 6, seed: int
 
 
 def split(ids: DataFrame, share: float = 0.15, seed: int = 42, by: str = "country") -> DataFrame:
-    """Distinct entities with split 'val' for exactly floor(share * n) of each group, else 'train'."""
-    rows = ids.select("entity_id", by).distinct()
-    count = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(ordered_hash(seed, "entity_id"), "entity_id"))
-    rows = rows.withColumn("place", place).join(count, by)
-    return rows.select("entity_id", by, F.when(F.col("place") <= F.floor(F.col("n") * share), "val").otherwise("train").alias("split"))
+    """Distinct entities with split 'val' for exactly floor(share * n) of each group, else 'train'. Rows without a group are left out.
+
+    Places count within the 65,536 first digits of the hash, after the sums of those before: no task holds a group's rows.
+    """
+    place = ordered_hash(seed, "entity_id")
+    rows = ids.select("entity_id", by).distinct().withColumn("_digits", F.substring(place, 1, 4))
+    whole = Window.partitionBy(by)
+    sums = rows.groupBy(by, "_digits").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.withColumn("_before", F.sum("_n").over(whole.orderBy("_digits")) - F.col("_n")).withColumn("_all", F.sum("_n").over(whole))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(by, "_digits").orderBy(place, "entity_id"))).join(sums, [by, "_digits"])
+    val = F.col("_before") + F.col("_place") <= F.floor(F.col("_all") * share)
+    return rows.select("entity_id", by, F.when(val, "val").otherwise("train").alias("split"))
 
 
 def drawn(rows: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -137,6 +138,16 @@ def test_split_is_exact_and_the_same_in_any_order(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, pairs.split(rows.repartition(7).unionByName(rows)).collect()))
 
 
+def test_split_takes_the_least_hashes_of_each_group(spark):
+    rows = [(f"e{i}", "IN" if i % 3 else "US") for i in range(400)] + [("x", None)]
+    got = {(r.entity_id, r.country) for r in pairs.split(spark.createDataFrame(rows, "entity_id string, country string"), 0.3, 7).collect() if r.split == "val"}
+    want = set()
+    for c in ("IN", "US"):
+        own = sorted((hashlib.md5(f"7|{e}".encode()).hexdigest(), e) for e, g in rows if g == c)
+        want |= {(e, c) for _, e in own[: math.floor(len(own) * 0.3)]}
+    assert got == want
+
+
 def test_sampling_keeps_positives_and_weighs_negatives(spark):
     rows = [(f"e{e}", f"c{k}", 1 + k % 4, int(k < e % 3)) for e in range(300) for k in range(40)]
     out = pairs.sampled(df(spark, rows, PAIR + ", n_keys int, label int")).collect()
