@@ -7,8 +7,9 @@ repeated anchors) are hashed whole and compared by their first place.
 
 Plan. Anchors go to buckets of their hash, places back to groups of documents, whole windows to buckets again and the
 repeated starts back to the documents: the text is shuffled once (both uses read one exchange). Places travel packed and compressed, as
-arrays of one row for each source chunk and bucket, and equal hashes of one chunk are merged before the shuffle, so a
-passage that a third of all documents share gives a bucket a row a chunk. Group counts follow spark.sql.shuffle.partitions.
+arrays of one row for each source chunk and bucket. Of equal hashes of one chunk only the first place goes to the bucket of
+the hash, for all of them; the others are known to repeat and pass through the buckets of their documents. So a passage that
+a third of all documents share gives its bucket an entry a chunk. Group counts follow spark.sql.shuffle.partitions.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def _stretched(column, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+def _bucket(keys: np.ndarray, docs: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
+    """By hash; the further places of a chunk are settled there and only pass through a bucket: by document, so no hash is hot."""
+    return np.where(known == 2, docs % n, ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64))
 
 
 def _rows(buckets: np.ndarray, n: int, keys, checks, docs, places, known) -> pa.RecordBatch:
@@ -115,7 +117,7 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
             keys, docs, places = h[take], piece.column("doc_id").to_numpy()[text[take]], place[take]
             checks = np.zeros(len(keys), "<u4")
             order, known = _merged(keys, checks, docs, places)
-            yield _rows(_bucket(keys[order], n), n, keys[order], checks, docs[order], places[order], known)
+            yield _rows(_bucket(keys[order], docs[order], known, n), n, keys[order], checks, docs[order], places[order], known)
 
     def repeated(table: pa.Table) -> pa.Table:
         keys, known = unpacked(table.column("keys"), "<u8"), unpacked(table.column("known"), "u1")
@@ -164,7 +166,7 @@ def removed(documents: DataFrame, width: int = WIDTH, period: int = PERIOD, cove
         twin = np.zeros(len(ids), bool)  # a place of rows that share a doc_id is no earlier one
         twin[1:] = (ids[1:] == ids[:-1]) & (place[1:] == place[:-1]) & (known[1:] == 2)
         keys, checks, ids, place, known = (x[~twin] for x in (keys, checks, ids, place, known))
-        return pa.Table.from_batches([_rows(_bucket(keys, n), n, keys, checks, ids, place, known)])
+        return pa.Table.from_batches([_rows(_bucket(keys, ids, known, n), n, keys, checks, ids, place, known)])
 
     def later(table: pa.Table) -> pa.Table:
         keys, checks, known = (unpacked(table.column(c), k) for c, k in (("keys", "<u8"), ("checks", "<u4"), ("known", "u1")))

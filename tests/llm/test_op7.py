@@ -1,7 +1,8 @@
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from kinfold.llm.op7_substring_dedup import removed
+from kinfold.llm.op7_substring_dedup import _bucket, _merged, removed
 
 SCHEMA = "doc_id long, text string"
 DATA = "/root/testdata/sf0.001"
@@ -81,3 +82,18 @@ def test_a_very_long_text(spark):
     words = [f"w{i}" for i in range(300_000)]
     rows = [(1, " ".join(words[1000:1100])), (2, " ".join(words)), (3, " ".join(words[200_000:200_030]) + " tail")]
     assert {r.doc_id: r.n_removed for r in removed(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: 0, 2: 100, 3: 30}
+
+
+def test_a_hash_sends_its_bucket_one_place_a_chunk():
+    keys = np.full(1000, 12345 << 20, np.uint64)
+    docs, places = np.arange(1000), np.zeros(1000, np.int64)
+    order, known = _merged(keys, np.zeros(1000, "<u4"), docs, places)
+    got = _bucket(keys[order], docs[order], known, 97)
+    assert (known < 2).sum() == 1 and got[known < 2] == 12345 % 97
+    assert np.bincount(got[known == 2], minlength=97).max() <= 11
+
+
+def test_a_passage_of_most_documents(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"a{i} {passage} b{i} " + (passage if i % 5 == 0 else "")) for i in range(400)]
+    assert run(spark, rows) == brute(rows)
