@@ -277,9 +277,11 @@ def linked(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     """
     data = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     hashed = keep(data.mapInArrow(_hashed(tables, projections, width), "vec_id long, same string, hashes binary, embedding array<double>, label long"), "hashed")
-    classes = hashed.where("same IS NOT NULL").groupBy("same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    vectors = hashed.join(classes, "same").where("vec_id = node").select("same", "node", "copies", "hashes", "embedding", "label").dropDuplicates(["same"])
-    nodes = keep(vectors.withColumn("class", F.monotonically_increasing_id()), "nodes")  # one vec_id may be the least of several classes
+    # The least row of a class by a partial aggregate: no task gets the copies of one vector.
+    some = hashed.where("same IS NOT NULL")
+    classes = some.groupBy("same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("hashes", "embedding", "label"), "vec_id").alias("row"))
+    nodes = classes.select("same", "node", "copies", "row.hashes", "row.embedding", "row.label")
+    nodes = keep(nodes.withColumn("class", F.monotonically_increasing_id()), "nodes")  # one vec_id may be the least of several classes
     entries = nodes.select("class", "hashes").mapInArrow(_keys, "class long, tab int, key long")
     buckets = entries.groupBy("tab", "key").agg(
         F.count(F.lit(1)).alias("size"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")
@@ -292,16 +294,15 @@ def linked(embeddings: DataFrame, cosine: float = COSINE, tables: int = TABLES,
     order = ("tab", "key", "lo", "hi")
     inside = inside.join(nodes.drop("same"), "class").repartition(*order).sortWithinPartitions(*order)
     found = keep(inside.mapInArrow(_compare(cosine), "class long, a long, b long, weight long"), "found")
-    degree = nodes.join(found.groupBy("class").agg(F.sum("weight").alias("links")), "class").select("same", "links")
-    member = hashed.join(classes, "same", "left").select("vec_id", "same", F.coalesce("node", "vec_id").alias("node"), "copies")
     shared = hashed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.count("same").alias("fine"), F.min("same").alias("lo"), F.max("same").alias("hi"))
     shared = shared.where("n > 1 AND (fine < n OR lo < hi)").select("vec_id")  # ids of different rows
-    tied = member.join(shared, "vec_id", "left_semi").where("vec_id != node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
-    label = components(found.select("a", "b").unionByName(tied), "vectors")
-    out = member.join(degree, "same", "left").join(label, "node", "left")
-    out = out.select(
-        "vec_id",
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
-    )
+    tied = some.select("vec_id", "same").join(shared, "vec_id", "left_semi").join(nodes.select("same", "node"), "same").where("vec_id != node")
+    label = components(found.select("a", "b").unionByName(tied.select(F.col("vec_id").alias("a"), F.col("node").alias("b"))), "vectors")
+    # Results of a class first and written, its copies joined to them after: that join has a shuffle of its own, which adaptive execution can split.
+    results = nodes.select("class", "same", "node", "copies").join(found.groupBy("class").agg(F.sum("weight").alias("links")), "class", "left").join(label, "node", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+    results = keep(results.select("same", n_links, F.coalesce("component", "node").alias("component_id")), "results")
+    out = some.select("vec_id", "same").join(results, "same").select("vec_id", "n_links", "component_id")
+    alone = hashed.where("same IS NULL").select("vec_id").join(label, F.col("vec_id") == F.col("node"), "left")
+    out = out.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

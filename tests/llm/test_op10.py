@@ -135,3 +135,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(1, [1.0], 1), (2, [2.0], 1)], SCHEMA).withColumn("node", F.lit("x")).withColumn("key", F.lit(None)).withColumn("same", F.lit(3))
     assert sorted(tuple(r) for r in linked(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_a_vector_of_most_rows(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.standard_normal(16).astype(np.float32).tolist()
+    rows = [(3 * i + 1, hot, 1) for i in range(300)] + [(3 * i, rng.standard_normal(16).astype(np.float32).tolist(), 1) for i in range(60)] + [(2, None, 1), (5, hot, None), (1, None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in linked(df.repartition(9)).collect())
+    assert [g for g in got if g[0] % 3 == 1] == sorted([(3 * i + 1, 299, 1) for i in range(300)] + [(1, 0, 1)])
+    assert (2, 0, 2) in got and (5, 0, 5) in got and len(got) == len(rows)
