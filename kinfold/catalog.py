@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import similarity as S
 from kinfold.functions import text as T
-from kinfold.operators import blocking, features, metric, outputs, pairs, vectors
+from kinfold.operators import blocking, blockwise, features, metric, outputs, pairs, vectors
 from kinfold.operators.blocking import Blocking
 from kinfold.plans import diagnostics, linkage
 from kinfold.runtime import keep
@@ -348,7 +348,7 @@ _ROUNDED = ("name_token_jaccard", "name_char_jaccard", "name_len_ratio", "addr_t
 
 def _features(spark, folder, wanted, cfg=WIDE):
     norm = _norm(spark, folder, noisy=True)
-    out = features.features(blocking.candidates(norm, cfg), norm, wanted)
+    out = blockwise.candidate_features(norm, cfg, wanted)
     return out.select("entity_id", "candidate_id", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in wanted])
 
 
