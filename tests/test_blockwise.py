@@ -58,6 +58,6 @@ def test_large_tables_of_members_are_searched(monkeypatch):
 
 def test_no_join_carries_the_forms_of_each_pair(spark):
     """The wide queries' plans: a record's forms are joined to the cells it goes to, not to its pairs."""
-    for name in ("pair_features_wide", "pre_rank_features_wide"):
+    for name in ("pair_features_wide", "weighted_rankings_native_wide", "pre_rank_features_wide"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan, name
