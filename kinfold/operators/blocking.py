@@ -96,6 +96,14 @@ def found_of(truth: DataFrame, rows: DataFrame) -> DataFrame:
     return one.join(other, ["candidate_id", *by], "left_semi").select("entity_id", "candidate_id").distinct()
 
 
+def true_pairs(truth: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``key_pairs`` that are pairs of the truth, found from the truth as well."""
+    by = ["country", "kind", "key"]
+    one = truth.select("entity_id", "candidate_id").distinct().join(rows.where("source = 1").select("entity_id", *by), "entity_id")
+    other = rows.where("source <> 1").select(F.col("entity_id").alias("candidate_id"), *by)
+    return one.join(other, ["candidate_id", *by]).groupBy("entity_id", "candidate_id").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
+
+
 def rendered(pairs: DataFrame) -> DataFrame:
     """match_keys (names of the kinds, comma-joined) and n_keys instead of kinds."""
     names = [F.when(F.col("kinds").bitwiseAND(1 << b) != 0, F.lit(k)) for b, k in enumerate(KINDS)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ _NEEDS = {
     **dict.fromkeys(E.RATIOS[:3], ("name_core",)), **dict.fromkeys(E.RATIOS[3:], ("addr_clean",)),
 }
 
-_PLAIN = {"name_length": pa.int32(), "addr_length": pa.int32(), "indic": pa.bool_(), "named": pa.bool_()}
+_PLAIN = {"most": pa.int32(), "name_length": pa.int32(), "addr_length": pa.int32(), "indic": pa.bool_(), "named": pa.bool_()}
 
 
 def _forms(needs: list[str]):
@@ -282,26 +283,28 @@ def _own(c: str, bits: np.ndarray) -> pa.Array:
     return pa.array((bits >> blocking.KINDS.index(kind)) & 1)
 
 
-def _find(wanted: tuple[str, ...], needs: list[str], kinds: pa.Schema):
-    def cells(batches):
-        at, sides = None, ([], [])
-        for batch in batches:
-            key = batch["cell"].to_numpy() * 4 + batch["part"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                where, part = divmod(int(key[lo]), 4)
-                if where != at:
-                    yield sides
-                    at, sides = where, ([], [])
-                sides[part].append(batch.slice(lo, hi - lo).select(["id", "forms"]))
-        yield sides
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[list, list]]]:
+    """The number of each cell, and the rows of its two sides."""
+    at, sides = None, ([], [])
+    for batch in batches:
+        key = batch["cell"].to_numpy() * 4 + batch["part"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            where, part = divmod(int(key[lo]), 4)
+            if where != at:
+                if sides[0] and sides[1]:
+                    yield at, sides
+                at, sides = where, ([], [])
+            sides[part].append(batch.slice(lo, hi - lo).select(["id", "forms"]))
+    if sides[0] and sides[1]:
+        yield at, sides
+
 
+def _find(wanted: tuple[str, ...], needs: list[str], kinds: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sides in cells(batches):
-            if not (sides[0] and sides[1]):
-                continue
+        for _, sides in _cells(batches):
             cell = _Cell(*map(pa.Table.from_batches, sides), needs)
             for a, b, bits in _agreeing(cell):
                 seen: dict = {}
@@ -312,20 +315,23 @@ def _find(wanted: tuple[str, ...], needs: list[str], kinds: pa.Schema):
     return run
 
 
-def candidate_features(norm: DataFrame, cfg: blocking.Blocking, wanted: tuple[str, ...] = E.ALL, block: int = BLOCK) -> DataFrame:
-    """The features of all candidate pairs of ``blocking.candidates``, which are found in the cells as well: no pair is shuffled.
+def _blocks(norm: DataFrame, block: int) -> int:
+    """Blocks of a side."""
+    return max(1, math.ceil(norm.count() / (2 * block)))
 
-    A record goes once to each cell where a key of its own is; these are found from the keys' blocks, never more than its pairs.
-    """
-    wanted = tuple(wanted)
-    needs = [*dict.fromkeys(f for c in wanted for f in _NEEDS.get(c, ())), "keys"]
-    n = max(1, math.ceil(norm.count() / (2 * block)))  # blocks of a side
+
+def _lists(rows: DataFrame, n: int, only: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The keys of capped postings with their records' blocks, and each record's keys as a list. ``only``: the entity_id of the entities that are wanted."""
     named = F.concat(F.col("kind").cast("string"), F.length("country").cast("string"), F.lit(":"), "country", "key").alias("key")
-    keys = blocking.capped(blocking.postings(norm, cfg), cfg).where("country IS NOT NULL AND entity_id IS NOT NULL")
+    keys = rows.where("country IS NOT NULL AND entity_id IS NOT NULL")
     keys = keys.select("entity_id", (F.col("source") == 1).alias("one"), named, F.pmod(F.xxhash64("entity_id"), F.lit(n)).alias("block")).where("one IS NOT NULL")
-    forms = norm.select("entity_id", (F.col("source") == 1).alias("one"), *[c for c in norm.columns if c not in ("entity_id", "source", "country", "scripts")])
-    lists = keys.groupBy("entity_id", "one").agg(F.collect_set("key").alias("keys"))
-    forms = forms.join(lists, ["entity_id", "one"]).select("entity_id", "one", _forms(needs).alias("forms"))
+    if only is not None:
+        keys = keys.where("one").join(only.select("entity_id").distinct(), "entity_id", "left_semi").unionByName(keys.where("NOT one"))
+    return keys, keys.groupBy("entity_id", "one").agg(F.collect_set("key").alias("keys"))
+
+
+def _met(keys: DataFrame, forms: DataFrame, n: int) -> DataFrame:
+    """cell, part, id, forms: a record goes once to each cell where a key of its own is."""
     every = None
     for k, one in enumerate((True, False)):
         mine, other = (keys.where(F.col("one") == x) for x in (one, not one))
@@ -334,7 +340,66 @@ def candidate_features(norm: DataFrame, cfg: blocking.Blocking, wanted: tuple[st
         side = met.select("entity_id", cell.alias("cell")).distinct().join(forms.where(F.col("one") == one), "entity_id")
         side = side.select("cell", F.lit(k).alias("part"), F.col("entity_id").alias("id"), "forms")
         every = side if every is None else every.unionByName(side)
+    return every
+
+
+def _formed(norm: DataFrame, lists: DataFrame, needs: list[str]) -> DataFrame:
+    forms = norm.select("entity_id", (F.col("source") == 1).alias("one"), *[c for c in norm.columns if c not in ("entity_id", "source", "country", "scripts")])
+    return forms.join(lists, ["entity_id", "one"]).select("entity_id", "one", _forms(needs).alias("forms"))
+
+
+def _needs(wanted: tuple[str, ...]) -> list[str]:
+    return [*dict.fromkeys(f for c in wanted for f in _NEEDS.get(c, ())), "keys"]
+
+
+def candidate_features(norm: DataFrame, cfg: blocking.Blocking, wanted: tuple[str, ...] = E.ALL, block: int = BLOCK, rows: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The features of all candidate pairs of ``blocking.candidates``, which are found in the cells as well: no pair is shuffled.
+
+    A record goes once to each cell where a key of its own is; these are found from the keys' blocks, never more than its pairs.
+    ``rows``: the capped postings, if they are there already. ``only``: the entity_id of the entities whose pairs are wanted; all if it is None.
+    """
+    wanted = tuple(wanted)
+    needs, n = _needs(wanted), _blocks(norm, block)
+    keys, lists = _lists(blocking.capped(blocking.postings(norm, cfg), cfg) if rows is None else rows, n, only)
     kind = lambda c: "double" if c == "embedding_score" or c not in _OWN and c.endswith(("jaccard", "ratio")) else "int"
     schema = ", ".join(["entity_id string", "candidate_id string", *(f"{c} {kind(c)}" for c in wanted)])
-    dealt = every.repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_find(wanted, needs, to_arrow_schema(StructType.fromDDL(schema))), schema)
+
+
+_DRAWN = "entity_id string, candidate_id string, kinds int"
+
+
+def _draw(seed: int, kinds: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sides in _cells(batches):
+            cell = _Cell(*map(pa.Table.from_batches, sides), ["keys", "most"])
+            most = cell.values("most")[0]
+            front = [f"{seed}|{x}|".encode() for x in cell.ids[0][0].to_pylist()]
+            back = [x.encode() for x in cell.ids[1][0].to_pylist()]
+            for a, b, bits in _agreeing(cell):
+                digits = b"".join([md5(front[i] + back[j]).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+                u = ((np.frombuffer(digits, ">u8")[::2] >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+                key = -np.log(u) / (np.bitwise_count(bits) + 1)
+                order = np.lexsort((key, a))  # a is in order already
+                first = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1])
+                n = np.diff(np.append(first, len(a)))
+                last = key[order[first + np.minimum(most[a[first]], n) - 1]]
+                taken = np.flatnonzero(key <= np.repeat(last, n) + 1e-8)  # the ranking rounds to nine digits
+                out = [cell.ids[0][0].take(pa.array(a[taken])), cell.ids[1][0].take(pa.array(b[taken])), pa.array(bits[taken])]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
+
+    return run
+
+
+def drawn(norm: DataFrame, rows: DataFrame, most: DataFrame, least: int, seed: int = 42, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+    """entity_id, candidate_id, kinds of the candidate pairs that come first in the order of ``pairs.sampled``: no pair is shuffled.
+
+    Of each entity those are as many as ``most`` (entity_id, most) says, ``least`` where it says nothing; each cell gives as many, so there are more of them.
+    """
+    n = _blocks(norm, block)
+    keys, lists = _lists(rows, n, only)
+    forms = lists.join(most, "entity_id", "left").withColumn("most", F.coalesce(F.col("most").cast("int"), F.lit(least)))
+    forms = forms.select("entity_id", "one", _forms(["keys", "most"]).alias("forms"))
+    dealt = _met(keys, forms, n).repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    return dealt.mapInArrow(_draw(seed, to_arrow_schema(StructType.fromDDL(_DRAWN))), _DRAWN)

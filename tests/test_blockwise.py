@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold import catalog
-from kinfold.operators import blocking, blockwise, features
+from kinfold.operators import blocking, blockwise, features, pairs
+from kinfold.plans import linkage
 from kinfold.runtime import keep
 
 NAMES = ["Eye Care LLC", "Eye Care", "", "कमल eye", "Care Eye Inc", "LLC", "a", "x" * 70 + " y", "Thénard & Cie", "Thenard and Cie", "Eye Care Group", "Rd 12 12", "quote\" back\\\\slash \\u0001 \\t tab"]
@@ -61,3 +62,37 @@ def test_no_join_carries_the_forms_of_each_pair(spark):
     for name in ("pair_features_wide", "weighted_rankings_native_wide", "pre_rank_features_wide"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan, name
+
+
+def test_a_sample_drawn_in_cells_is_that_of_all_pairs(spark):
+    _, norm = _odd(spark)
+    cfg = blocking.Blocking(cap=20)
+    every = blocking.candidates(norm, cfg)
+    true = keep(every.where(F.xxhash64("candidate_id", "entity_id") % 20 == 0).select("entity_id", "candidate_id"), "true")
+    rows, found = linkage._found(norm, true.unionByName(spark.createDataFrame([("S1-0", "S2-none")], true.schema)), cfg)
+    labels = pairs.labelled(every, true)
+    assert sorted(map(repr, found.select(*labels.columns).collect())) == sorted(map(repr, labels.where("label = 1").collect()))
+    entities = norm.where("source = 1 AND entity_id <> 'S1-3'").select("entity_id").distinct()
+    for per_positive, block in ((2, 8), (6, 4096)):
+        want = pairs.sampled(labels.join(entities, "entity_id", "left_semi"), per_positive, per_positive)
+        most = found.groupBy("entity_id").agg((F.count(F.lit(1)) * (per_positive + 1)).alias("most"))
+        first = blockwise.drawn(norm, rows, most, per_positive, block=block, only=entities)
+        got = pairs.sampled(pairs.labelled(blocking.rendered(first).unionByName(found.drop("label")).distinct(), true).join(entities, "entity_id", "left_semi"), per_positive, per_positive)
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and first.count() < every.count()
+    want = pairs.sampled(labels.join(entities, "entity_id", "left_semi"))
+    assert sorted(map(repr, linkage._sampled(norm, rows, found, entities, 42).select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_pairs_of_some_entities(spark):
+    _, norm = _odd(spark)
+    only = norm.where("source = 1 AND xxhash64(entity_id) % 3 = 0").select("entity_id")
+    want = blockwise.candidate_features(norm, blocking.Blocking(), features.PRE_RANK).join(only, "entity_id", "left_semi")
+    got = blockwise.candidate_features(norm, blocking.Blocking(), features.PRE_RANK, only=only)
+    rows = sorted(map(repr, want.collect()))
+    assert rows and sorted(map(repr, got.collect())) == rows
+
+
+def test_pre_rankers_make_no_table_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "key_pairs", None)
+    for name in ("learned_pre_ranker",):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
