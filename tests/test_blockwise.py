@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold import catalog
 from kinfold.operators import blocking, blockwise, features, pairs
-from kinfold.plans import linkage
+from kinfold.plans import linkage, models
 from kinfold.runtime import keep
 
 NAMES = ["Eye Care LLC", "Eye Care", "", "कमल eye", "Care Eye Inc", "LLC", "a", "x" * 70 + " y", "Thénard & Cie", "Thenard and Cie", "Eye Care Group", "Rd 12 12", "quote\" back\\\\slash \\u0001 \\t tab"]
@@ -96,3 +96,24 @@ def test_pre_rankers_make_no_table_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(blocking, "key_pairs", None)
     for name in ("learned_pre_ranker",):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+@pytest.mark.parametrize("columns", [features.PRE_RANK, features.ALL])
+def test_the_best_of_the_cells_are_the_best_of_all(spark, columns, monkeypatch):
+    _, norm = _odd(spark)
+    norm, cfg = keep(norm.where("name_clean <> 'another eye'"), "norm"), blocking.Blocking()
+    every = keep(features.features(blocking.candidates(norm, cfg), norm), "every")
+    model = models.fit(every.withColumn("label", (F.xxhash64("candidate_id") % 4 + 2 * F.col("n_keys") > 5).cast("int")), columns, trees=4, depth=3)
+    scored = models.score(model, every, columns, "pre_rank_score")
+    rows = blocking.capped(blocking.postings(norm, cfg), cfg)
+    for strip, block in ((1, 8), (3, 8), (4, 4096)):
+        monkeypatch.setattr(blockwise, "STRIP", strip)
+        monkeypatch.setattr(blockwise, "STEP", 50 if strip == 3 else 1 << 20)
+        got = linkage.reranked(blocking.rendered(blockwise.best(norm, rows, models.forest(model, columns), 5, block)), 5)
+        side = lambda d: sorted((r.entity_id, r.candidate_id, r.n_keys, round(r.pre_rank_score, 9)) for r in d.collect())
+        assert side(got) == side(linkage.reranked(scored, 5)) and got.count() > 50
+
+
+def test_two_stages_make_no_table_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "key_pairs", None)
+    assert catalog.QUERIES["two_stage_light"](spark, "/root/testdata/sf0.001").count() == 19
