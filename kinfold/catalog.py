@@ -465,13 +465,23 @@ def _rankings_sql() -> str:
 
 @query(_rankings_sql())
 def weighted_rankings(spark, folder):
-    """Recall at three caps of the hand-weighted scores."""
-    norm, true = _norm(spark, folder), truth(spark, folder)
-    rows = features.features(pairs.labelled(blocking.candidates(norm, WIDE), true), norm)
-    rows = keep(rows.select("entity_id", "candidate_id", "label", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in features.ALL]), "features")
-    out = None
+    """Recall at three caps of the hand-weighted scores. Entities without a true candidate add nothing to the sums, nor do candidates behind all true ones: they aren't ranked."""
+    norm, true = _norm(spark, folder), keep(truth(spark, folder), "truth")
+    hit = keep(blocking.true_pairs(true, blocking.capped(blocking.postings(norm, WIDE), WIDE)).select("entity_id").distinct(), "hit")
+    found = blocking.candidates(norm, WIDE)
+    if not hit.isEmpty():  # else all count for the caps that have candidates
+        found = found.join(hit, "entity_id", "left_semi")
+    used = tuple(c for c in features.ALL if any(c in weights for weights in features.HAND_WEIGHTS.values()))
+    rows = blockwise.features(keep(pairs.labelled(found, true), "labels"), norm, used)
+    rows = rows.select("entity_id", "candidate_id", "label", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in used])
     for name, weights in features.HAND_WEIGHTS.items():
-        one = diagnostics.recall_at(features.weighted(rows, weights, "raw").withColumn("value", F.round("raw", 6)), true, RANKING_CAPS, F.desc("value")).withColumn("ranking", F.lit(name))
+        rows = features.weighted(rows, weights, name)
+    rows = keep(rows.select("entity_id", "candidate_id", "label", *[F.round(n, 6).alias(n) for n in features.HAND_WEIGHTS]), "values")
+    least = keep(rows.where("label = 1").groupBy("entity_id").agg(*[F.min(n).alias(f"least_{n}") for n in features.HAND_WEIGHTS]), "least")
+    out = None
+    for name in features.HAND_WEIGHTS:
+        own = rows.select("entity_id", "candidate_id", "label", F.col(name).alias("value")).join(least.select("entity_id", F.col(f"least_{name}").alias("least")), "entity_id", "left")
+        one = diagnostics.recall_at(own.where("least IS NULL OR value >= least"), true, RANKING_CAPS, F.desc("value")).withColumn("ranking", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -117,3 +117,8 @@ def test_the_best_of_the_cells_are_the_best_of_all(spark, columns, monkeypatch):
 def test_two_stages_make_no_table_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(blocking, "key_pairs", None)
     assert catalog.QUERIES["two_stage_light"](spark, "/root/testdata/sf0.001").count() == 19
+
+
+def test_weighted_rankings_carry_no_forms_to_pairs(spark, monkeypatch):
+    monkeypatch.setattr(features, "features", None)
+    assert catalog.QUERIES["weighted_rankings"](spark, "/root/testdata/sf0.001").select("ranking").distinct().count() == len(features.HAND_WEIGHTS)
