@@ -418,10 +418,7 @@ def _weighted_sql(cfg: Blocking) -> str:
 
 
 def _weighted(spark, folder, cfg):
-    rows = _features(spark, folder, features.NATIVE, cfg)
-    for name in features.HAND_WEIGHTS:
-        rows = features.weighted(rows, _native_weights(name), name)
-    return rows.select("entity_id", "candidate_id", *[F.round(n, 6).alias(n) for n in features.HAND_WEIGHTS])
+    return blockwise.candidate_scores(_norm(spark, folder, noisy=True), cfg, {name: _native_weights(name) for name in features.HAND_WEIGHTS})
 
 
 @query(

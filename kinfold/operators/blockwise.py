@@ -369,6 +369,46 @@ def candidate_features(norm: DataFrame, cfg: blocking.Blocking, wanted: tuple[st
     return dealt.mapInArrow(_find(wanted, needs, to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
+def six_digits(x: np.ndarray) -> np.ndarray:
+    """Rounded as SQL does, halves away from zero; a quotient's half may lie below itself in binary."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + (0.5 + 1e-9)) / 1e6, x)
+
+
+def _totals(rankings: dict[str, dict[str, float]], needs: list[str], kinds: pa.Schema):
+    used = dict.fromkeys(c for weights in rankings.values() for c in weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sides in _cells(batches):
+            cell = _Cell(*map(pa.Table.from_batches, sides), needs)
+            for a, b, bits in _agreeing(cell):
+                seen: dict = {}
+                value = {c: _own(c, bits).to_numpy(zero_copy_only=False) if c in _OWN else np.asarray(_column(cell, c, a, b, seen)) for c in used}
+                value = {c: six_digits(x) if x.dtype.kind == "f" else x for c, x in value.items()}
+                out = [cell.ids[0][0].take(pa.array(a)), cell.ids[1][0].take(pa.array(b))]
+                for weights in rankings.values():
+                    total = np.zeros(len(a))
+                    for c, w in weights.items():
+                        total += value[c] * w
+                    out.append(pa.array(six_digits(total)))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
+
+    return run
+
+
+def candidate_scores(norm: DataFrame, cfg: blocking.Blocking, rankings: dict[str, dict[str, float]], block: int = BLOCK) -> DataFrame:
+    """entity_id, candidate_id of all candidate pairs and by name of each ranking its sum of weighted features, which are rounded to six digits, as is the sum.
+
+    Pairs are found as in ``candidate_features``; no feature leaves its cell. A feature that no candidate has (``embedding_score``) can't be in a sum.
+    """
+    if any("embedding_score" in weights for weights in rankings.values()):
+        raise ValueError("candidates have no embedding_score")
+    schema = ", ".join(["entity_id string", "candidate_id string", *(f"`{name}` double" for name in rankings)])
+    needs, n = _needs(tuple(dict.fromkeys(c for weights in rankings.values() for c in weights))), _blocks(norm, block)
+    keys, lists = _lists(blocking.capped(blocking.postings(norm, cfg), cfg), n, None)
+    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    return dealt.mapInArrow(_totals(rankings, needs, to_arrow_schema(StructType.fromDDL(schema))), schema)
+
+
 _DRAWN = "entity_id string, candidate_id string, kinds int"
 
 

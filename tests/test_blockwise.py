@@ -122,3 +122,35 @@ def test_two_stages_make_no_table_of_all_pairs(spark, monkeypatch):
 def test_weighted_rankings_carry_no_forms_to_pairs(spark, monkeypatch):
     monkeypatch.setattr(features, "features", None)
     assert catalog.QUERIES["weighted_rankings"](spark, "/root/testdata/sf0.001").select("ranking").distinct().count() == len(features.HAND_WEIGHTS)
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_sums_made_in_cells_are_those_of_the_features(spark, block):
+    _, norm = _odd(spark)
+    cfg = blocking.Blocking(cap=20)
+    used = tuple(c for c in features.ALL if c != "embedding_score")
+    rankings = {**features.HAND_WEIGHTS, "every feature": {c: 1.0 + i for i, c in enumerate(used)}, "less": {"name_char_jaccard": -3.0, "n_keys": 1.0}, "none": {}}
+    rows = features.features(blocking.candidates(norm, cfg), norm, used)
+    rows = rows.select("entity_id", "candidate_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes[2:]])
+    for name, weights in rankings.items():
+        rows = features.weighted(rows, weights, name)
+    want = rows.select("entity_id", "candidate_id", *[F.round(f"`{n}`", 6).alias(n) for n in rankings])
+    got = blockwise.candidate_scores(norm, cfg, rankings, block)
+    assert got.dtypes == want.dtypes
+    every = sorted(map(repr, want.collect()))
+    assert every and sorted(map(repr, got.collect())) == every
+
+
+def test_six_digits_round_halves_up(spark):
+    q = [(p, n) for n in (1, 3, 7, 128, 640, 1920, 3200, 3 * 128, 78125 * 2) for p in range(min(n, 2000) + 1)]
+    want = [r.x for r in spark.createDataFrame(q, "p int, n int").select(F.round(F.col("p") / F.col("n"), 6).alias("x")).collect()]
+    assert blockwise.six_digits(np.array([p / n for p, n in q])).tolist() == want
+    assert blockwise.six_digits(np.array([-p / n for p, n in q])).tolist() == [-x for x in want]
+
+
+def test_only_weighted_sums_leave_the_cells(spark, monkeypatch):
+    """No feature of a pair is handed on, only its sums; no row is rounded or summed outside."""
+    monkeypatch.setattr(features, "weighted", None)
+    rows = catalog.QUERIES["weighted_rankings_native_wide"](spark, "/root/testdata/sf0.001")
+    made = rows._jdf.queryExecution().optimizedPlan()
+    assert made.getClass().getSimpleName() == "MapInArrow" and made.output().size() == 2 + len(features.HAND_WEIGHTS)
