@@ -47,6 +47,8 @@ ANSWER_WORDS = 8
 ANSWER_SHARE = 0.375
 SLICE_WORDS = 200_000
 CHUNK = 1 << 16
+LAYERS = 32  # most rows that one run of a sum has
+SIDE = 1024  # runs that are added up side by side, few enough for a cache
 
 FOUND = "doc_id long, key long, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
@@ -116,15 +118,33 @@ def omega_of(columns: int, rank: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((columns, min(columns, rank + OVERSAMPLE))).astype(np.float32)
 
 
-def _sums(table: np.ndarray, index: np.ndarray, rows: np.ndarray, n: int, scale: np.ndarray | None = None) -> np.ndarray:
-    """Sums of table[index] (times scale) by row number, which must not fall; CHUNK at a time, so memory doesn't follow a text's length."""
+def _sums(table: np.ndarray, index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of table[index] by row number, which must not fall; CHUNK at a time, so memory doesn't follow a text's length.
+
+    Runs of equal rows, LAYERS long at most, are added up side by side, the longest first: their k-th members in one step.
+    """
     out = np.zeros((n, table.shape[1]), np.float32)
     for s in range(0, len(rows), CHUNK):
-        at, values = rows[s : s + CHUNK], table[index[s : s + CHUNK]]
-        if scale is not None:
-            values = values * scale[s : s + CHUNK, None]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        out[at[first]] += np.add.reduceat(values, first, axis=0)
+        at, own = rows[s : s + CHUNK], index[s : s + CHUNK]
+        run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        first = np.flatnonzero((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % LAYERS == 0)
+        size = np.diff(np.append(first, len(at)))
+        order = np.argsort(-size, kind="stable")
+        whole = len(first) == len(run)
+        parts = None if whole else np.empty((len(first), table.shape[1]), np.float32)
+        for lo in range(0, len(order), SIDE):
+            these = order[lo : lo + SIDE]
+            begin, longer = first[these], -size[these]
+            sums = table[own[begin]]
+            for k in range(1, -int(longer[0])):
+                m = int(np.searchsorted(longer, -k))  # runs of more than k
+                sums[:m] += table[own[begin[:m] + k]]
+            if whole:
+                out[at[begin]] += sums
+            else:
+                parts[these] = sums
+        if not whole:
+            out[at[run]] += _sums(parts, np.arange(len(first)), np.searchsorted(run, first, side="right") - 1, len(run))
     return out
 
 
@@ -315,7 +335,7 @@ def _sketch(coded: DataFrame, column: np.ndarray, weight: np.ndarray, rank: int)
             passages += int((norm > 0).sum())
             a = _sums(scaled, word, of, int(begin[-1])) / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
             order = np.argsort(word, kind="stable")
-            y += _sums(a, of[order], word[order], columns, weight[word[order]])
+            y += _sums(a, of[order], word[order], columns) * weight[:, None]
         at = [*range(0, columns, rows), -1]  # -1: the number of passages
         body = [*(y[i : i + rows].tobytes() for i in at[:-1]), np.array([passages], "<f4").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(body, pa.binary())], names=["part", "at", "y"])
