@@ -1,6 +1,9 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from kinfold.sources import tsv
+from kinfold.sources import tables, tsv
 
 
 def test_round_trip(spark, tmp_path):
@@ -34,3 +37,13 @@ def test_load_and_stages(spark, tmp_path):
     assert tsv.folder_name("") == "UNKNOWN" and tsv.folder_name("a/b c") == "a_b_c"
     assert [r.entity_id for r in tsv.first_rows(records, 2, "entity_id").collect()] == ["S1-1", "S2-1"]
     assert tsv.to_parquet(spark, f"{tmp_path}/train/train_source1.tsv", f"{tmp_path}/p").count() == 1
+
+
+def test_longest_words_are_those_of_brute_force_and_no_expression_of_arrays(spark):
+    texts = [None, "", "  12 ", "b aa aa Cc 1dd", "é \u0085b İIßſ 😀ab zz Zz zz", "a" * 20 + " " + "b" * 21 + "_" + "é" * 20 + "-" + "é" * 21, "x\ty\nz\x0bq\x00w ab　cd", "short and longest words, of one length: abcde abcdf"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", *[tables.longest_words(F.col("text"), n).alias(f"n{n}") for n in (1, 3, 12)])
+    for r in rows.collect():
+        words = sorted({w for w in re.findall(tables.WORD, texts[r.i] or "") if len(w) <= tables.LONGEST_WORD}, key=lambda w: (-len(w), w))
+        assert (r.n1, r.n3, r.n12) == tuple(" ".join(words[:n]) for n in (1, 3, 12)), texts[r.i]
+    for made in (tables.records(spark, "/root/testdata/sf0.001"), tables.truth(spark, "/root/testdata/sf0.001")):
+        assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
