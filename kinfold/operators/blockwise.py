@@ -26,7 +26,9 @@ from kinfold.functions import text as T
 from kinfold.operators import blocking
 from kinfold.operators import features as E
 
-BLOCK = 2048  # records of a side in a cell, on average
+BLOCK = 2048  # records of a side that are compared at a time; a cell has as many of a side on average, or more
+MOST_BLOCK = 16384  # where cells are large, as a record then goes to fewer of them
+LEAST_CELLS = 48
 TABLE = 1 << 26  # most entries of a table of members; larger ones are searched
 STEP = 1 << 20  # members of sets that are looked up at a time
 MOST_TASKS = 20_000
@@ -121,9 +123,10 @@ class _Cell:
         if ("set", c) not in self.made:
             a, b = self.columns[c]
             size_a, size_b = self.sizes(c)
-            codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
-            code, width = codes.indices.to_numpy().astype(np.int64), max(1, len(codes.dictionary))
-            own, keys = code[: size_a.sum()], np.repeat(np.arange(len(b)) * width, size_b) + code[size_a.sum() :]
+            codes = b.flatten().dictionary_encode()
+            width = len(codes.dictionary) + 1  # one more for what no b has
+            own = pc.index_in(a.flatten(), value_set=codes.dictionary).fill_null(width - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = np.repeat(np.arange(len(b)) * width, size_b) + codes.indices.to_numpy().astype(np.int64)
             if len(b) * width <= TABLE:
                 table = np.zeros(len(b) * width, bool)
                 table[keys] = True
@@ -296,12 +299,19 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[list,
                 continue
             where, part = divmod(int(key[lo]), 4)
             if where != at:
-                if sides[0] and sides[1]:
-                    yield at, sides
+                yield from _parts(at, sides)
                 at, sides = where, ([], [])
             sides[part].append(batch.slice(lo, hi - lo).select(["id", "forms"]))
+    yield from _parts(at, sides)
+
+
+def _parts(at: int, sides: tuple[list, list]) -> Iterator[tuple[int, tuple[list, list]]]:
+    """A large cell's second side is taken BLOCK records at a time, unless ids are repeated there."""
     if sides[0] and sides[1]:
-        yield at, sides
+        b = pa.Table.from_batches(sides[1])
+        step = BLOCK if pc.count_distinct(b["id"]).as_py() == len(b) else len(b)
+        for lo in range(0, len(b), step):
+            yield at, (sides[0], b.slice(lo, step).to_batches())
 
 
 def _find(wanted: tuple[str, ...], needs: list[str], kinds: pa.Schema):
@@ -317,28 +327,31 @@ def _find(wanted: tuple[str, ...], needs: list[str], kinds: pa.Schema):
     return run
 
 
-def _blocks(norm: DataFrame, block: int) -> int:
-    """Blocks of a side."""
-    return max(1, math.ceil(norm.count() / (2 * block)))
+def _blocks(norm: DataFrame, block: int | None, only: DataFrame | None = None) -> tuple[int, int]:
+    """Blocks of entities (of these ``only``) and of candidates. None: as large as leaves LEAST_CELLS cells, from BLOCK to MOST_BLOCK records."""
+    a, b = norm.agg(F.expr("count_if(source = 1)"), F.expr("count_if(source <> 1)")).first()
+    a = a if only is None else only.count()
+    block = block or min(MOST_BLOCK, max(BLOCK, math.isqrt(a * b // LEAST_CELLS)))
+    return max(1, math.ceil(a / block)), max(1, math.ceil(b / block))
 
 
-def _lists(rows: DataFrame, n: int, only: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _lists(rows: DataFrame, n: tuple[int, int], only: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The keys of capped postings with their records' blocks, and each record's keys as a list. ``only``: the entity_id of the entities that are wanted."""
     named = F.concat(F.col("kind").cast("string"), F.length("country").cast("string"), F.lit(":"), "country", "key").alias("key")
     keys = rows.where("country IS NOT NULL AND entity_id IS NOT NULL")
-    keys = keys.select("entity_id", (F.col("source") == 1).alias("one"), named, F.pmod(F.xxhash64("entity_id"), F.lit(n)).alias("block")).where("one IS NOT NULL")
+    keys = keys.select("entity_id", (F.col("source") == 1).alias("one"), named, F.pmod(F.xxhash64("entity_id"), F.when(F.col("source") == 1, n[0]).otherwise(n[1])).alias("block")).where("one IS NOT NULL")
     if only is not None:
         keys = keys.where("one").join(only.select("entity_id").distinct(), "entity_id", "left_semi").unionByName(keys.where("NOT one"))
     return keys, keys.groupBy("entity_id", "one").agg(F.collect_set("key").alias("keys"))
 
 
-def _met(keys: DataFrame, forms: DataFrame, n: int) -> DataFrame:
+def _met(keys: DataFrame, forms: DataFrame, n: tuple[int, int]) -> DataFrame:
     """cell, part, id, forms: a record goes once to each cell where a key of its own is."""
     every = None
     for k, one in enumerate((True, False)):
         mine, other = (keys.where(F.col("one") == x) for x in (one, not one))
         met = mine.join(other.select("key", F.col("block").alias("met")).distinct(), "key")
-        cell = (F.col("block") * n + F.col("met")) if one else (F.col("met") * n + F.col("block"))
+        cell = (F.col("block") * n[1] + F.col("met")) if one else (F.col("met") * n[1] + F.col("block"))
         side = met.select("entity_id", cell.alias("cell")).distinct().join(forms.where(F.col("one") == one), "entity_id")
         side = side.select("cell", F.lit(k).alias("part"), F.col("entity_id").alias("id"), "forms")
         every = side if every is None else every.unionByName(side)
@@ -354,18 +367,18 @@ def _needs(wanted: tuple[str, ...]) -> list[str]:
     return [*dict.fromkeys(f for c in wanted for f in _NEEDS.get(c, ())), "keys"]
 
 
-def candidate_features(norm: DataFrame, cfg: blocking.Blocking, wanted: tuple[str, ...] = E.ALL, block: int = BLOCK, rows: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def candidate_features(norm: DataFrame, cfg: blocking.Blocking, wanted: tuple[str, ...] = E.ALL, block: int | None = None, rows: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """The features of all candidate pairs of ``blocking.candidates``, which are found in the cells as well: no pair is shuffled.
 
     A record goes once to each cell where a key of its own is; these are found from the keys' blocks, never more than its pairs.
     ``rows``: the capped postings, if they are there already. ``only``: the entity_id of the entities whose pairs are wanted; all if it is None.
     """
     wanted = tuple(wanted)
-    needs, n = _needs(wanted), _blocks(norm, block)
+    needs, n = _needs(wanted), _blocks(norm, block, only)
     keys, lists = _lists(blocking.capped(blocking.postings(norm, cfg), cfg) if rows is None else rows, n, only)
     kind = lambda c: "double" if c == "embedding_score" or c not in _OWN and c.endswith(("jaccard", "ratio")) else "int"
     schema = ", ".join(["entity_id string", "candidate_id string", *(f"{c} {kind(c)}" for c in wanted)])
-    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n[0] * n[1], MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_find(wanted, needs, to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
@@ -395,7 +408,7 @@ def _totals(rankings: dict[str, dict[str, float]], needs: list[str], kinds: pa.S
     return run
 
 
-def candidate_scores(norm: DataFrame, cfg: blocking.Blocking, rankings: dict[str, dict[str, float]], block: int = BLOCK) -> DataFrame:
+def candidate_scores(norm: DataFrame, cfg: blocking.Blocking, rankings: dict[str, dict[str, float]], block: int | None = None) -> DataFrame:
     """entity_id, candidate_id of all candidate pairs and by name of each ranking its sum of weighted features, which are rounded to six digits, as is the sum.
 
     Pairs are found as in ``candidate_features``; no feature leaves its cell. A feature that no candidate has (``embedding_score``) can't be in a sum.
@@ -405,7 +418,7 @@ def candidate_scores(norm: DataFrame, cfg: blocking.Blocking, rankings: dict[str
     schema = ", ".join(["entity_id string", "candidate_id string", *(f"`{name}` double" for name in rankings)])
     needs, n = _needs(tuple(dict.fromkeys(c for weights in rankings.values() for c in weights))), _blocks(norm, block)
     keys, lists = _lists(blocking.capped(blocking.postings(norm, cfg), cfg), n, None)
-    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n[0] * n[1], MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_totals(rankings, needs, to_arrow_schema(StructType.fromDDL(schema))), schema)
 
 
@@ -434,16 +447,16 @@ def _draw(seed: int, kinds: pa.Schema):
     return run
 
 
-def drawn(norm: DataFrame, rows: DataFrame, most: DataFrame, least: int, seed: int = 42, block: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+def drawn(norm: DataFrame, rows: DataFrame, most: DataFrame, least: int, seed: int = 42, block: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """entity_id, candidate_id, kinds of the candidate pairs that come first in the order of ``pairs.sampled``: no pair is shuffled.
 
     Of each entity those are as many as ``most`` (entity_id, most) says, ``least`` where it says nothing; each cell gives as many, so there are more of them.
     """
-    n = _blocks(norm, block)
+    n = _blocks(norm, block, only)
     keys, lists = _lists(rows, n, only)
     forms = lists.join(most, "entity_id", "left").withColumn("most", F.coalesce(F.col("most").cast("int"), F.lit(least)))
     forms = forms.select("entity_id", "one", _forms(["keys", "most"]).alias("forms"))
-    dealt = _met(keys, forms, n).repartition(min(n * n, MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    dealt = _met(keys, forms, n).repartition(min(n[0] * n[1], MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_draw(seed, to_arrow_schema(StructType.fromDDL(_DRAWN))), _DRAWN)
 
 
@@ -556,10 +569,10 @@ def _keep_best(forest: Forest, needs: list[str], most: int, n: int, kinds: pa.Sc
     return run
 
 
-def best(norm: DataFrame, rows: DataFrame, forest: Forest, most: int, block: int = BLOCK) -> DataFrame:
+def best(norm: DataFrame, rows: DataFrame, forest: Forest, most: int, block: int | None = None) -> DataFrame:
     """entity_id, candidate_id, kinds, pre_rank_score of the best ``most`` candidate pairs of each entity and strip of cells, the entity's best among them."""
     needs, n = _needs(forest.columns), _blocks(norm, block)
     keys, lists = _lists(rows, n, None)
-    strip = (F.floor(F.col("cell") / n) * n + F.floor(F.col("cell") % n / STRIP)).alias("strip")
-    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n * math.ceil(n / STRIP), MOST_TASKS), strip).sortWithinPartitions("cell", "part")
-    return dealt.mapInArrow(_keep_best(forest, needs, most, n, to_arrow_schema(StructType.fromDDL(_BEST))), _BEST)
+    strip = (F.floor(F.col("cell") / n[1]) * n[1] + F.floor(F.col("cell") % n[1] / STRIP)).alias("strip")
+    dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n[0] * math.ceil(n[1] / STRIP), MOST_TASKS), strip).sortWithinPartitions("cell", "part")
+    return dealt.mapInArrow(_keep_best(forest, needs, most, n[1], to_arrow_schema(StructType.fromDDL(_BEST))), _BEST)

@@ -154,3 +154,16 @@ def test_only_weighted_sums_leave_the_cells(spark, monkeypatch):
     rows = catalog.QUERIES["weighted_rankings_native_wide"](spark, "/root/testdata/sf0.001")
     made = rows._jdf.queryExecution().optimizedPlan()
     assert made.getClass().getSimpleName() == "MapInArrow" and made.output().size() == 2 + len(features.HAND_WEIGHTS)
+
+
+def test_large_cells_are_compared_in_parts_and_records_go_to_fewer(spark, monkeypatch):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(2).alias("source"))
+    monkeypatch.setattr(blockwise, "MOST_BLOCK", 4096)
+    n = blockwise._blocks(rows, None)
+    assert n == (5, 10) and blockwise._blocks(rows, None, rows.limit(3)) == (1, 20) and blockwise._blocks(rows, 2048) == (10, 20)
+    table = lambda ids: pa.table({"id": ids}).to_batches()
+    monkeypatch.setattr(blockwise, "BLOCK", 4)
+    sizes = lambda ids: [sum(map(len, b)) for _, (_, b) in blockwise._parts(0, (table(["x"]), table(ids)))]
+    assert sizes(list("abcdefghij")) == [4, 4, 2] and sizes(list("abcdefghia")) == [10]
+    _, norm = _odd(spark)
+    assert sorted(map(repr, blockwise.candidate_features(norm, blocking.Blocking()).collect())) == sorted(map(repr, features.features(blocking.candidates(norm), norm).collect()))
