@@ -104,6 +104,13 @@ def true_pairs(truth: DataFrame, rows: DataFrame) -> DataFrame:
     return one.join(other, ["candidate_id", *by]).groupBy("entity_id", "candidate_id").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
 
 
+def any_pair(rows: DataFrame, entities: DataFrame) -> bool:
+    """Whether these entities have any candidate."""
+    by = ["country", "kind", "key"]
+    one = rows.where("source = 1").join(entities.select("entity_id"), "entity_id", "left_semi")
+    return not one.join(rows.where("source <> 1").select(*by), by, "left_semi").isEmpty()
+
+
 def rendered(pairs: DataFrame) -> DataFrame:
     """match_keys (names of the kinds, comma-joined) and n_keys instead of kinds."""
     names = [F.when(F.col("kinds").bitwiseAND(1 << b) != 0, F.lit(k)) for b, k in enumerate(KINDS)]

@@ -45,7 +45,8 @@ _NEEDS = {
     **dict.fromkeys(E.RATIOS[:3], ("name_core",)), **dict.fromkeys(E.RATIOS[3:], ("addr_clean",)),
 }
 
-_PLAIN = {"most": pa.int32(), "name_length": pa.int32(), "addr_length": pa.int32(), "indic": pa.bool_(), "named": pa.bool_()}
+_MARKS = {"mark_row": pa.list_(pa.int64()), "mark_ranking": pa.list_(pa.int32()), "mark_id": pa.list_(pa.string()), "mark_keys": pa.list_(pa.int32()), "mark_score": pa.list_(pa.float64())}
+_PLAIN = {**_MARKS, "most": pa.int32(), "name_length": pa.int32(), "addr_length": pa.int32(), "indic": pa.bool_(), "named": pa.bool_()}
 
 
 def _forms(needs: list[str]):
@@ -576,3 +577,133 @@ def best(norm: DataFrame, rows: DataFrame, forest: Forest, most: int, block: int
     strip = (F.floor(F.col("cell") / n[1]) * n[1] + F.floor(F.col("cell") % n[1] / STRIP)).alias("strip")
     dealt = _met(keys, _formed(norm, lists, needs), n).repartition(min(n[0] * math.ceil(n[1] / STRIP), MOST_TASKS), strip).sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(_keep_best(forest, needs, most, n[1], to_arrow_schema(StructType.fromDDL(_BEST))), _BEST)
+
+
+def _value(cell: _Cell, c: str, a: np.ndarray, b: np.ndarray, bits: np.ndarray, seen: dict) -> np.ndarray:
+    if c == "embedding_score":
+        return np.full(len(bits), -1.0)
+    return _own(c, bits).to_numpy(zero_copy_only=False) if c in _OWN else np.asarray(_column(cell, c, a, b, seen))
+
+
+class Forests:
+    """Rankings by a forest each, then by the number of keys."""
+
+    by_keys = True
+
+    def __init__(self, forests: list[Forest]) -> None:
+        self.forests = forests
+        self.columns = tuple(dict.fromkeys(c for f in forests for c in f.columns))
+
+    def of_columns(self, ranking: int, values: dict[str, np.ndarray], n: int) -> np.ndarray:
+        return self.forests[ranking].scores([values[c] for c in self.forests[ranking].columns], n)
+
+    def ahead(self, cell: _Cell, a: np.ndarray, b: np.ndarray, bits: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each ranking the pairs that have at least the score ``least`` of their entity, and their scores."""
+        for k, forest in enumerate(self.forests):
+            at = np.flatnonzero(np.isfinite(least[k][a]))
+            if len(at):
+                x, y, kinds, seen = a[at], b[at], bits[at], {}
+                score = self.of_columns(k, {c: _value(cell, c, x, y, kinds, seen) for c in forest.columns}, len(at))
+                some = np.flatnonzero(score >= least[k][x])
+                yield k, at[some], score[some]
+
+
+class Weights:
+    """Rankings by sums of weighted features, rounded to six digits as are the features. String ratios are made only of pairs that could reach ``least`` with them."""
+
+    by_keys = False
+
+    def __init__(self, rankings: list[dict[str, float]]) -> None:
+        self.rankings = rankings
+        self.columns = tuple(dict.fromkeys(c for weights in rankings for c in weights))
+
+    def of_columns(self, ranking: int, values: dict[str, np.ndarray], n: int) -> np.ndarray:
+        total = np.zeros(n)
+        for c, w in self.rankings[ranking].items():
+            x = values[c]
+            total += (six_digits(x) if x.dtype.kind == "f" else x) * w
+        return six_digits(total)
+
+    def ahead(self, cell: _Cell, a: np.ndarray, b: np.ndarray, bits: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        seen: dict = {}
+        value = {c: _value(cell, c, a, b, bits, seen) for c in self.columns if c not in E.RATIOS}
+        could = []
+        for k, weights in enumerate(self.rankings):
+            bound = np.full(len(a), 1e-3)
+            for c, w in weights.items():
+                bound += max(w, 0.0) if c in E.RATIOS else value[c] * w  # a ratio is at most 1
+            could.append(bound >= least[k][a])
+        at = np.flatnonzero(np.logical_or.reduce(could))
+        if not len(at):
+            return
+        x, y, kinds, seen = a[at], b[at], bits[at], {}
+        value = {c: v[at] for c, v in value.items()} | {c: _value(cell, c, x, y, kinds, seen) for c in self.columns if c in E.RATIOS}
+        for k in range(len(self.rankings)):
+            own = np.flatnonzero(could[k][at])
+            score = self.of_columns(k, {c: value[c][own] for c in self.rankings[k]}, len(own))
+            some = np.flatnonzero(score >= least[k][x[own]])
+            yield k, at[own[some]], score[some]
+
+
+def marks(true: DataFrame, rankings: Forests | Weights) -> DataFrame:
+    """row, entity_id, candidate_id, n_keys, ranking and its score of each of these pairs, which come with the features and the number of their ranking."""
+    names = [f"f_{c}" for c in rankings.columns]
+    rows = true.select(F.monotonically_increasing_id().alias("row"), "entity_id", "candidate_id", F.col("n_keys").cast("int"), F.col("ranking").cast("int"), *[F.col(c).alias(f"f_{c}") for c in rankings.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, score = batch["ranking"].to_numpy(), np.zeros(len(batch))
+            value = {c: batch[n].to_numpy(zero_copy_only=False) for c, n in zip(rankings.columns, names, strict=True)}
+            for k in np.unique(which):
+                at = np.flatnonzero(which == k)
+                score[at] = rankings.of_columns(int(k), {c: v[at] for c, v in value.items()}, len(at))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in batch.schema.names[:5]], pa.array(score)], names=[*batch.schema.names[:5], "score"])
+
+    return rows.mapInArrow(run, "row long, entity_id string, candidate_id string, n_keys int, ranking int, score double")
+
+
+def _count_ahead(rankings: Forests | Weights, many: int, needs: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sides in _cells(batches):
+            cell = _Cell(*map(pa.Table.from_batches, sides), needs)
+            size = cell.sizes("mark_row")[0]
+            row, which, id_, keys, score = (cell.columns[c][0].flatten() for c in _MARKS)
+            row, which, keys, score = (x.to_numpy(zero_copy_only=False) for x in (row, which, keys, score))
+            owner = np.repeat(np.arange(len(size)), size)
+            codes = pa.concat_arrays([cell.ids[1][0], id_]).dictionary_encode()
+            place = np.empty(len(codes.dictionary), np.int64)
+            place[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(place))
+            place = place[codes.indices.to_numpy()]
+            theirs, own_place = place[: len(cell.ids[1][0])], place[len(cell.ids[1][0]) :]
+            least, n = np.full((many, len(size)), np.inf), np.zeros(len(row), np.int64)
+            np.minimum.at(least, (which, owner), score)
+            for a, b, bits in _agreeing(cell):
+                for k, at, value in rankings.ahead(cell, a, b, bits, least):
+                    if not len(at):
+                        continue
+                    lo, hi = np.searchsorted(owner, (a[at].min(), a[at].max() + 1))
+                    mark = lo + np.flatnonzero(which[lo:hi] == k)
+                    many_keys = np.bitwise_count(bits[at]).astype(np.int64) * rankings.by_keys
+                    whose = np.concatenate([owner[mark], a[at]])
+                    late = np.repeat([0, 1], [len(mark), len(at)])  # a pair is not ahead of itself
+                    order = np.lexsort((late, np.concatenate([own_place[mark], theirs[b[at]]]), -np.concatenate([keys[mark] * rankings.by_keys, many_keys]), -np.concatenate([score[mark], value]), whose))
+                    before = np.concatenate([[0], np.cumsum(late[order])])
+                    there = np.flatnonzero(late[order] == 0)
+                    n[mark[order[there]]] += before[there] - before[np.searchsorted(whose[order], whose[order[there]])]
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some])], names=["row", "n"])
+
+    return run
+
+
+def ranks(norm: DataFrame, rows: DataFrame, marked: DataFrame, rankings: Forests | Weights, many: int, block: int | None = None) -> DataFrame:
+    """The ``marks`` (a kept table) with each pair's rank, from 1, among all candidates of its entity: cells count the pairs ahead of it, no other pair leaves them."""
+    needs = [*_needs(rankings.columns), *_MARKS]
+    only = marked.select("entity_id").distinct()
+    n = _blocks(norm, block, only)
+    keys, lists = _lists(rows, n, only)
+    each = F.struct("row", "ranking", F.col("candidate_id").alias("id"), F.col("n_keys").alias("keys"), "score")
+    each = marked.groupBy("entity_id").agg(F.collect_list(each).alias("m")).select("entity_id", F.lit(True).alias("one"), *[F.col(f"m.{c[5:]}").alias(c) for c in _MARKS])
+    dealt = _met(keys, _formed(norm, lists.join(each, ["entity_id", "one"], "left"), needs), n).repartition(min(n[0] * n[1], MOST_TASKS), "cell").sortWithinPartitions("cell", "part")
+    ahead = dealt.mapInArrow(_count_ahead(rankings, many, needs), "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
+    return marked.join(ahead, "row", "left").withColumn("rank", F.coalesce("n", F.lit(0)) + 1).drop("n")

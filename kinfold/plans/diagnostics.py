@@ -79,6 +79,14 @@ def recall_at(raw: DataFrame, truth: DataFrame, caps: tuple[int, ...], *order) -
     return rows.select("cap", "found", F.when(F.col("total_true") > 0, F.round(F.col("found") / F.col("total_true"), 6)).alias("recall"))
 
 
+def recall_of_ranks(ranked: DataFrame, truth: DataFrame, caps: tuple[int, ...]) -> DataFrame:
+    """cap, found, recall of true pairs whose ranks among all candidates are known."""
+    sums = ranked.agg(*[F.count_if(F.col("rank") <= c).alias(f"f{c}") for c in caps])
+    rows = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("cap"), F.col(f"f{c}").alias("found")) for c in caps])).alias("r")).select("r.*")
+    total = F.broadcast(truth.distinct().agg(F.count(F.lit(1)).alias("total_true")))
+    return rows.crossJoin(total).select("cap", "found", F.when(F.col("total_true") > 0, F.round(F.col("found") / F.col("total_true"), 6)).alias("recall"))
+
+
 def tie_upper_bound(raw: DataFrame, truth: DataFrame, caps: tuple[int, ...] = CAPS) -> DataFrame:
     """The recall if ties were always resolved for the truth."""
     return recall_at(raw, truth, caps, F.desc("n_keys"), F.desc("label"))

@@ -167,3 +167,51 @@ def test_large_cells_are_compared_in_parts_and_records_go_to_fewer(spark, monkey
     assert sizes(list("abcdefghij")) == [4, 4, 2] and sizes(list("abcdefghia")) == [10]
     _, norm = _odd(spark)
     assert sorted(map(repr, blockwise.candidate_features(norm, blocking.Blocking()).collect())) == sorted(map(repr, features.features(blocking.candidates(norm), norm).collect()))
+
+
+@pytest.mark.parametrize("kind", ["weights", "forests"])
+def test_ranks_counted_in_cells_are_those_of_all_candidates(spark, kind, monkeypatch):
+    _, norm = _odd(spark)
+    cfg = blocking.Blocking(cap=20)
+    columns = features.PRE_RANK if kind == "forests" else tuple(dict.fromkeys(c for w in features.HAND_WEIGHTS.values() for c in w))
+    if kind == "forests":
+        norm = keep(norm.where("name_clean <> 'another eye'"), "norm")
+    every = keep(blocking.candidates(norm, cfg), "every")
+    rows = keep(blocking.capped(blocking.postings(norm, cfg), cfg), "rows")
+    values = keep(features.features(every, norm, columns), "values")
+    if kind == "forests":
+        label = (F.xxhash64("candidate_id") % 4 + 2 * F.col("n_keys") > 5).cast("int")
+        found = [models.fit(values.withColumn("label", x), columns, trees=4, depth=3) for x in (label, 1 - label)]
+        rankings, names = blockwise.Forests([models.forest(m, columns) for m in found]), ["x", "y"]
+        scored = [models.score(m, values, columns).select("entity_id", "candidate_id", "n_keys", F.round("score", 9).alias("score")) for m in found]
+    else:
+        rankings, names = blockwise.Weights(list(features.HAND_WEIGHTS.values())), list(features.HAND_WEIGHTS)
+        rounded = values.select("entity_id", "candidate_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in values.dtypes[2:]])
+        scored = [features.weighted(rounded, features.HAND_WEIGHTS[n], "v").select("entity_id", "candidate_id", F.lit(0).alias("n_keys"), F.round("v", 6).alias("score")) for n in names]
+    true = F.xxhash64("candidate_id", "entity_id") % 9 == 0
+    want = []
+    for k, one in enumerate(scored):
+        want += [(k, r.entity_id, r.candidate_id, r.rank) for r in blocking.ranked(one, F.desc("score"), F.desc("n_keys")).where(true).collect()]
+    each = values.where(true).withColumn("ranking", F.explode(F.array(*map(F.lit, range(len(names))))))
+    marked = keep(blockwise.marks(each, rankings), "marks")
+    for block, step in ((8, 40), (4096, 1 << 20)):
+        monkeypatch.setattr(blockwise, "STEP", step)
+        got = [(r.ranking, r.entity_id, r.candidate_id, r.rank) for r in blockwise.ranks(norm, rows, marked, rankings, len(names), block).collect()]
+        first = {x[:3]: min(y[3] for y in got if y[:3] == x[:3]) for x in got}  # a repeated id's rows tie
+        for x in want:
+            assert x[:3] in first
+        assert len(got) == len(want) > 50
+        if kind == "forests":
+            assert sorted(got) == sorted(want)
+        else:
+            own = lambda t: sorted(x for x in t if x[1] != "S1-0")
+            assert own(got) == own(want)
+
+
+def test_recall_queries_hand_on_no_candidates(spark, monkeypatch):
+    """Neither candidates nor their features are made as rows, whatever their number: only counts leave the cells."""
+    monkeypatch.setattr(blocking, "key_pairs", None)
+    monkeypatch.setattr(blockwise, "candidate_features", None)
+    monkeypatch.setattr(blocking, "ranked", None)
+    for name in ("weighted_rankings", "learned_pre_ranker"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
