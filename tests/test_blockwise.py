@@ -215,3 +215,14 @@ def test_recall_queries_hand_on_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(blocking, "ranked", None)
     for name in ("weighted_rankings", "learned_pre_ranker"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_a_task_draws_from_all_its_cells_at_once(spark, monkeypatch):
+    _, norm = _odd(spark)
+    norm = keep(norm.where("name_clean <> 'another eye'"), "norm")
+    rows = keep(blocking.capped(blocking.postings(norm, blocking.Blocking())), "rows")
+    none = spark.createDataFrame([], "entity_id string, most long")
+    monkeypatch.setattr(blockwise, "BLOCK", 4)
+    monkeypatch.setattr(blockwise, "STEP", 60)
+    got = blockwise.drawn(norm, rows, none, 2, block=4096).groupBy("entity_id").count().collect()
+    assert got and max(r["count"] for r in got) <= 2
